@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.session import checkpointed
+from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "table"]
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

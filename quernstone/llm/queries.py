@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat, secrets, topk
+from quernstone.llm import chat, langid, secrets, simhash, topk, warc
 from quernstone.llm.common import table
 
 
@@ -25,11 +25,35 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal("f").alias("fingerprint"), "component_id")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_chat": op3_chat, "op9_secrets": op9_secrets}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("captured", 1_704_067_200 + F.col("page_id"))
+    folder = warc.new_folder(spark)
+    warc.write_archives(pages, folder)
+    history = warc.histories(warc.read_archives(spark, folder))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op3_chat": op3_chat,
+    "op4_simhash": op4_simhash,
+    "op6_langid": op6_langid,
+    "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
+}
 
 ORACLE_SQL = {
     "op1_topk": """
