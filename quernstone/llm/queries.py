@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat, langid, secrets, simhash, topk, warc
+from quernstone.llm import chat, decontam, langid, secrets, simhash, topk, warc
 from quernstone.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontam.report(decontam.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op6_langid": op6_langid,
+    "op8_decontam": op8_decontam,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
