@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "ensure_checkpoint_dir", "table"]
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "importable", "table"]
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find the package where the driver did; a cluster has it installed."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the folder, only the columns named."""
+    importable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

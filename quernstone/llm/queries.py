@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat, decontam, langid, secrets, simhash, topk, warc
+from quernstone.llm import chat, decontam, langid, mixing, quality, secrets, simhash, topk, warc
 from quernstone.llm.common import table
 
+#: Shares of all tokens that op7_mixing and the pipeline aim at.
+TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
+
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integers(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    return quality.judged(docs, table(spark, sf_dir, "labels")).select(*quality.columns(docs))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -34,6 +42,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labelled = mixing.vetted(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, labelled, TARGETS).select("doc_id", "tokens", "domain", "membership", "rate")
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontam.report(decontam.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
@@ -53,9 +67,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_quality": op2_quality,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op6_langid": op6_langid,
+    "op7_mixing": op7_mixing,
     "op8_decontam": op8_decontam,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
