@@ -11,6 +11,7 @@ whole come from alternating large and small stars.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.llm.common import checkpointed
 
 #: Hash seed; fingerprints to a shard as aimed at; sampled fingerprints; comparisons done at once.
 SEED, SHARD_ROWS, SAMPLE_ROWS, BLOCK_CELLS = 42, 16384, 65536, 1 << 20
+#: Word fingerprints of a text that similar() links by, and rows up to which a counted side is broadcast.
+VIEWS, BROADCAST_ROWS = 8, 200_000
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 17
 
@@ -154,9 +158,8 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def forest(f: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """For each position the root of what it is linked to, over pairs with at least one at home."""
-    parent = np.arange(len(f))
+def pairs(f: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) in blocks, i at home: all pairs of positions within the radius, found by further splits."""
     stack = [(np.flatnonzero(home), np.arange(len(f)))]
     while stack:
         p, q = stack.pop()
@@ -171,10 +174,19 @@ def forest(f: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
             continue
         step = max(1, BLOCK_CELLS // len(q))
         for lo in range(0, len(p), step):
-            i, j = np.nonzero(distance(f[p[lo : lo + step], None], f[None, q]) <= radius)
-            i, j = p[lo + i], q[j]
-            apart = parent[i] != parent[j]
-            parent = unite(parent, i[apart], j[apart])
+            d = distance(f[p[lo : lo + step], None], f[None, q])
+            i, j = np.nonzero(d <= radius)
+            apart = p[lo + i] != q[j]
+            i, j = i[apart], j[apart]
+            yield p[lo + i], q[j], d[i, j].astype(np.int64)
+
+
+def forest(f: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
+    """For each position the root of what it is linked to, over pairs with at least one at home."""
+    parent = np.arange(len(f))
+    for i, j, _ in pairs(f, home, radius):
+        apart = parent[i] != parent[j]
+        parent = unite(parent, i[apart], j[apart])
     return parent
 
 
@@ -242,5 +254,165 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     return joined.select("doc_id", "f", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def normal(text: bytes | None) -> bytes:
+    """A text's lower-cased words, one space between."""
+    return b" ".join((text or b"").lower().split())
+
+
+def key_of(words: bytes) -> tuple[int, int]:
+    """A 128-bit hash as two signed longs."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(words), "<i8")
+    return int(a), int(b)
+
+
+def views_of(words: bytes) -> np.ndarray:
+    """VIEWS independent 64-bit SimHashes of a text's words, each counting as often as it occurs."""
+    counts = Counter(words.split())
+    if not counts:
+        return np.zeros(VIEWS, np.uint64)
+    raw = b"".join(xxhash.xxh3_128_digest(w, seed=s) for w in counts for s in range(VIEWS // 2))
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(counts), -1), axis=1)
+    n = np.fromiter(counts.values(), np.float32, len(counts))
+    ones = np.zeros(bits.shape[1])
+    for lo in range(0, len(n), CHUNK):
+        ones += n[lo : lo + CHUNK] @ bits[lo : lo + CHUNK]
+    return np.packbits(2 * ones > n.sum(dtype=float)).view(">u8").astype(np.uint64)
+
+
+def shingles_of(words: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; of fewer words the whole is one."""
+    w = words.split(b" ") if words else []
+    parts = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else [b""]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the key of their words as ``__a`` and ``__b``."""
+    kept = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [key_of(normal(x.as_py())) for x in b.column("__text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*kept, "__a", "__b"])
+
+    schema = T.StructType(list(docs.schema.fields)).add("__a", "long").add("__b", "long")
+    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+
+
+def neighbours(f: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that link each position with its first and its nearest neighbour, over pairs with at least one at home."""
+    none = np.int64(2**62)
+    first, near = np.full(len(f), none), np.full(len(f), none)
+    for i, j, d in pairs(f, home, radius):
+        for a, b in ((i, j), (j, i)):
+            np.minimum.at(first, a, b)
+            np.minimum.at(near, a, (d << 40) + b)
+    linked = np.flatnonzero(first != none)
+    return np.concatenate([linked, linked]), np.concatenate([first[linked], near[linked] & ((1 << 40) - 1)])
+
+
+def candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: linked pairs of ``nodes (node, views)`` in any view, a few for each node at most.
+
+    Nodes of one fingerprint link to the smallest of them; different fingerprints within the radius
+    link, as the smallest node of each, to their first and their nearest neighbour.
+    """
+    flat = nodes.select("node", F.posexplode("views").alias("view", "f"))
+    same = checkpointed(flat.groupBy("view", "f").agg(F.min("node").alias("first")))
+    equal = flat.join(same, ["view", "f"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    n = max(1, same.count() // VIEWS)
+    trees = []
+    for v in range(VIEWS):
+        sample = same.filter(F.col("view") == v).select("f").orderBy(F.xxhash64("f"), "f").limit(SAMPLE_ROWS // VIEWS).collect()
+        sample = np.array([r.f for r in sample], np.int64).view(np.uint64)
+        trees.append(build(sample, max(32, len(sample) * SHARD_ROWS // n)))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            view, f, node = (np.asarray(b.column(i)) for i in range(3))
+            for v in np.unique(view):
+                own = np.flatnonzero(view == v)
+                at, shard, home = routed(f[own].view(np.uint64), trees[v], radius)
+                at = own[at]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64) * VIEWS + v), pa.array(f[at]), pa.array(node[at]), pa.array(home.astype(bool))], ["shard", "f", "node", "home"])
+
+    def within(t: pa.Table) -> pa.Table:
+        node = np.asarray(t["node"])
+        order = np.argsort(node, kind="stable")
+        node, f, home = node[order], np.asarray(t["f"])[order].view(np.uint64), np.asarray(t["home"])[order]
+        i, j = neighbours(f, home, radius)
+        return pa.table({"a": pa.array(node[i]), "b": pa.array(node[j])})
+
+    met = same.select("view", "f", F.col("first").alias("node")).mapInArrow(route, "shard long, f long, node long, home boolean")
+    found = met.groupBy("shard").applyInArrow(within, "a long, b long").unionByName(equal)
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``edges (a, b)`` whose texts' shingle sets have at least that Jaccard similarity; ``docs`` as keyed() gives them."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("__a")).distinct()
+    small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [shingles_of(normal(x.as_py()), width).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int64()))], ["node", "s"])
+
+    own = docs.select("__a", F.col(text).cast("binary").alias("t")).join(F.broadcast(ends) if small else ends, "__a", "left_semi")
+    # texts of one key have one set
+    held = checkpointed(own.mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
+
+    met = edges.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``docs`` without all but the smallest id of each group of near-duplicates, rows as they were.
+
+    Texts of the same words, but for case and white space, are one group; groups whose shingle sets of
+    ``width`` words have a Jaccard similarity of at least ``similarity`` are linked. Links are sought by
+    VIEWS word fingerprints within ``radius`` bits, in vantage-point trees, and then compared exactly.
+    Null and empty texts are one group. Of repeated rows one stays; rows with a null id all stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [normal(x.as_py()) for x in b.column(1)]
+            keys = [key_of(t) for t in texts]
+            views = pa.array([views_of(t).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), views], ["doc_id", "a", "b", "views"])
+
+    cols = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter(F.col("doc_id").isNotNull())
+    rows = checkpointed(cols.mapInArrow(run, "doc_id long, a long, b long, views array<long>"))
+    groups = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.first("views").alias("views")))
+    nodes = groups.select(F.col("a").alias("node"), "views")
+    edges = checkpointed(candidates(nodes, radius))
+    named = components(verified(keyed(docs.select(id, text), text), text, edges, width, similarity))
+    of = groups.join(named, groups.a == named.node, "left").select("a", "b", "least", F.coalesce("component", "a").alias("component"))
+    best = of.groupBy("component").agg(F.min(F.struct("least", "a", "b")).alias("best"))
+    # a row goes unless its group, key and id are the ones that stay
+    ruled = rows.select("doc_id", "a", "b").join(of.join(best, "component").select("a", "b", "best"), ["a", "b"])
+    stays = (F.col("doc_id") == F.col("best.least")) & (F.col("a") == F.col("best.a")) & (F.col("b") == F.col("best.b"))
+    lost = checkpointed(ruled.filter(~stays).select(F.col("doc_id").alias("__id"), F.col("a").alias("__x"), F.col("b").alias("__y")).distinct())
+    small = lost.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    here = keyed(docs, text)
+    gone = (F.col(id).cast("long") == F.col("__id")) & (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))
+    left = here.join(F.broadcast(lost) if small else lost, gone, "left_anti")
+    if not rows.groupBy("doc_id", "a", "b").count().filter("count > 1").isEmpty():
+        lone = left.filter(F.col(id).isNotNull()).dropDuplicates([id, "__a", "__b"])
+        left = lone.unionByName(left.filter(F.col(id).isNull()))
+    return left.select(*docs.columns)
+
+
 def hexadecimal(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))

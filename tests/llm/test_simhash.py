@@ -105,3 +105,58 @@ def test_empty(spark):
 def test_first_in_spark_agrees(spark):
     t = "one two three"
     assert spark.range(1).select(F.xxhash64(F.lit(t)).alias("h")).first().h % 2**64 == simhash.fingerprint(t.encode())
+
+
+def jaccard(a, b):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_one_of_each_group(spark):
+    r = random.Random(21)
+    words = [f"word{i}" for i in range(2000)]
+    rows, near = [], {}
+    for g in range(40):
+        base = r.choices(words, k=r.randrange(80, 300))
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(r.randrange(0, 4)):
+            w = list(base)
+            for _ in range(r.randrange(0, 3)):
+                w[r.randrange(len(w))] = r.choice(words)
+            near[len(rows)] = near.get(len(rows), rows[-1][0])
+            rows.append((len(rows), r.choice([str, str.upper])(("  " if g % 2 else " ").join(w))))
+        changed = [x if r.random() < 0.7 else r.choice(words) for x in base]  # too far off
+        rows.append((len(rows), " ".join(changed)))
+    rows += [(5000, ""), (5001, None), (5002, " \n"), (5003, "short text"), (5004, "Short  text"), (5005, "short texts")]
+    extra = [(None, rows[0][1]), (None, None), rows[3], rows[3], (5006, "x " * 30_000), (2, "another text of the same id")]
+    df = spark.createDataFrame([(*x, 1) for x in rows + extra], SCHEMA + ", node int")
+    got = simhash.one_of_each(df)
+    assert got.columns == ["doc_id", "text", "node"]
+    kept = [(x.doc_id, x.text) for x in got.collect()]
+    # brute force: components over all pairs, the smallest id of each
+    every = {(i, t) for i, t in rows + extra if i is not None}
+    order = sorted(every, key=lambda x: (x[0], x[1] or ""))
+    label = {x: x for x in order}
+    for x in order:
+        for y in order:
+            if label[x] != label[y] and jaccard(x[1], y[1]) >= 0.8:
+                old, new = max(label[x], label[y], key=order.index), min(label[x], label[y], key=order.index)
+                label = {k: new if v == old else v for k, v in label.items()}
+    want = sorted(set(label.values()), key=repr)
+    ours = [(i, t) for i, t in kept if i is not None]
+    # nothing else goes, and hardly a copy stays
+    assert set(want) <= set(ours) and len(ours) == len(set(ours)) <= len(want) + 2
+    assert sum(i is None for i, _ in kept) == 2
+
+
+def test_one_of_each_by_shuffles_and_empty(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 3) * 31 + k}" for k in range(50)) + (" end" if i % 3 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert a == sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [i for i in range(60) if i % 3 == 0]
+    assert simhash.one_of_each(df.limit(0)).collect() == []
