@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat, decontam, langid, mixing, quality, secrets, simhash, topk, warc
+from quernstone.llm import chat, decontam, langid, mixing, quality, secrets, simhash, suffix, topk, warc
 from quernstone.llm.common import table
 
 #: Shares of all tokens that op7_mixing and the pipeline aim at.
@@ -38,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("f").alias("fingerprint"), "component_id")
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(suffix.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
+    "op5_suffix": op5_suffix,
     "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
     "op8_decontam": op8_decontam,
