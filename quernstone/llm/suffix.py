@@ -189,25 +189,29 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, most: int = WINDOW, lanes:
     """For each place in the order how many bytes, at most ``most``, it has in common with the place before.
 
     Kasai's rule: from one position to the next the common prefix with the predecessor loses at most
-    one byte, so comparing goes on from there. The text is walked in lanes side by side.
+    one byte, so comparing goes on from there. That holds where the predecessor's next position comes
+    before this one; it may not after a tie, since the order looks at ``most`` bytes only, and then
+    comparing starts anew. The text is walked in lanes side by side.
     """
     n = len(t)
     if not n:
         return np.empty(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    rank = np.empty(n + 1, np.int64)
+    rank[order], rank[n] = np.arange(n), n
     padded = np.concatenate([t, np.zeros(most + 8, np.uint8)]).tobytes()
     word = np.ndarray((n + most,), "<u8", padded, strides=(1,))
     length = -(-n // min(lanes, n))
     starts = np.arange(0, n, length)
-    common, h = np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
+    common, h, j = np.zeros(n, np.int64), np.zeros(len(starts), np.int64), np.full(len(starts), n - 1)
     for step in range(length):
         i = starts + step
         live = i < n
-        i, h = i[live], h[live]
-        starts = starts[live]
+        starts, i, h, j = starts[live], i[live], h[live], j[live]
+        goes_on = rank[j + 1] < rank[i]
         j = before[i]
-        h = np.where(j < 0, 0, np.maximum(h - 1, 0))
+        h = np.where(goes_on & (j >= 0), np.maximum(h - 1, 0), 0)
         open_ = np.flatnonzero((j >= 0) & (h < most))
         while len(open_):
             a, b, g = i[open_], j[open_], h[open_]
