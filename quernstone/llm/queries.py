@@ -66,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
     warc.write_archives(pages, folder)
     history = warc.histories(warc.read_archives(spark, folder))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
@@ -82,7 +82,37 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
+def secrets_sql() -> str:
+    """Matches and the pieces between them alternate; a run of fixed least length is written as such."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        if r.group == 0 and r.least > 1:
+            pattern = f"{pattern[:-1]}{{{r.least - len(secrets.strings_head(r.pattern))},}}"
+        least = r.least if r.group else 0
+        parts.append(f"SELECT row, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS j, regexp_split_to_array(t, '{pattern}') AS g, {least} AS least FROM d")
+    base = len(secrets.BASE)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+s AS (SELECT row, k, kind, m[i] AS hit, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f) WHERE length(j[i]) >= least),
+n AS (SELECT *, kind || ':' || a || ':' || (a + length(hit)) AS said FROM s)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY a, k) FILTER (k < {base}), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN n USING (row) GROUP BY row, doc_id"""
+
+
 ORACLE_SQL = {
+    "op9_secrets": secrets_sql(),
+    "op10_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS hex, max(page_id) OVER (PARTITION BY b) AS last FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)) AS v FROM h)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM v""",
     "op1_topk": """
 WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 v AS MATERIALIZED (SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))) AS v FROM kept GROUP BY vec_id),
