@@ -62,4 +62,4 @@ def text_ids(text: bytes | None) -> np.ndarray:
 def meta_ids(values: dict[str, object]) -> np.ndarray:
     """A number for each (name, value); numbers count by powers of two."""
     said = [f"{k}={int(np.log2(v)) if isinstance(v, (int, float)) and v > 0 else v}" for k, v in values.items()]
-    return np.array([zlib.crc32(x.encode()) for x in said], np.int64)
+    return np.array([zlib.crc32(x.encode()) % WORDS for x in said], np.int64)

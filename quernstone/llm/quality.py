@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 
 from quernstone.llm.features import meta_ids, text_ids
 
-#: Documents sampled to learn from, at most about; features kept of a view; rounds; calibrated certainty for a
-#: pseudo-label and its weight; one in so many labelled rows calibrates.
-SAMPLE_ROWS, FEATURES, ROUNDS, SURE, PSEUDO_WEIGHT, CALIBRATES = 30_000, 600, 3, 0.98, 0.5, 4
+#: Labelled and unlabelled documents sampled to learn from, at most about.
+LABELLED_ROWS, UNLABELLED_ROWS = 10_000, 5_000
+#: Features kept of a view; rounds; calibrated certainty for a pseudo-label and its weight; one in so many labelled rows calibrates.
+FEATURES, ROUNDS, SURE, PSEUDO_WEIGHT, CALIBRATES = 600, 3, 0.98, 0.5, 4
 META = ("lang", "source", "n_chars")
 
 
@@ -58,7 +59,7 @@ class Sets:
 
     @classmethod
     def of(cls, lists: pa.ChunkedArray) -> Sets:
-        a = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
+        a = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
         return cls(np.asarray(a.flatten()), np.asarray(a.value_lengths()).astype(np.int64))
 
     def dense(self, features: np.ndarray) -> np.ndarray:
@@ -99,9 +100,9 @@ class View:
 
 def learn(sets: Sets, y: np.ndarray, weight: np.ndarray) -> View:
     """The features whose odds differ most surely between the classes, and a regression on those."""
-    each, at = np.unique(sets.flat, return_inverse=True)
-    row = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
-    bad, good = (np.bincount(at, (weight * c)[row], minlength=len(each)) + 0.5 for c in (y, 1 - y))
+    bad, good = (np.bincount(sets.flat, np.repeat(weight * c, sets.sizes)) for c in (y, 1 - y))
+    each = np.flatnonzero(bad + good)
+    bad, good = bad[each] + 0.5, good[each] + 0.5
     n_bad, n_good = (weight * y).sum() + 1, (weight * (1 - y)).sum() + 1
     odds = np.log(bad / n_bad) - np.log(good / n_good)
     z = np.abs(odds) / np.sqrt(1 / bad + 1 / good)
@@ -159,11 +160,11 @@ def featured(docs: DataFrame, id: str, text: str, more: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, m = ids_of(b, "__text", meta)
-            yield pa.RecordBatch.from_arrays([b.column(id), *(b.column(c) for c in more), pa.array(t, pa.list_(pa.int64())), pa.array(m, pa.list_(pa.int64()))], [id, *more, "text_ids", "meta_ids"])
+            yield pa.RecordBatch.from_arrays([b.column(id), *(b.column(c) for c in more), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], [id, *more, "text_ids", "meta_ids"])
 
     cols = docs.select(id, *more, *meta, F.col(text).cast("binary").alias("__text"))
     kept = T.StructType([docs.schema[c] for c in (id, *more)])
-    lists = T.ArrayType(T.LongType())
+    lists = T.ArrayType(T.IntegerType())
     return cols.mapInArrow(run, kept.add("text_ids", lists).add("meta_ids", lists))
 
 
@@ -179,20 +180,20 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", bad.alias("__bad")).dropna().groupBy("doc_id").agg(F.max("__bad").alias("__bad"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Co-trains on a sample of documents, labelled and not, by a hash of the id: all if they are fewer than ``sample_rows``."""
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
+    """Co-trains on samples of the labelled and of the other documents by a hash of the id: all of them if they are fewer."""
     docs = docs.filter(F.col(id).isNotNull())
-    n = docs.count()
-    share = min(1.0, sample_rows / max(1, n))
-    sampled = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < int(1_000_000 * share) + 1
-    known = labelled(labels.filter(sampled("doc_id"))).withColumnRenamed("doc_id", "__doc")
+    known = labelled(labels).withColumnRenamed("doc_id", "__doc")
+    per_million = lambda rows, n: int(1_000_000 * min(1.0, rows / max(1, n))) + 1
+    some, more = per_million(labelled_rows, known.count()), per_million(unlabelled_rows, docs.count())
+    drawn = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000))
     meta = [c for c in META if c in docs.columns]
-    own = docs.filter(sampled(id)).select(F.col(id).alias("doc_id"), F.col(text).alias("text"), *meta)
-    sample = own.join(known, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    own = docs.filter(drawn(id) < max(some, more)).select(F.col(id).alias("doc_id"), F.col(text).alias("text"), *meta)
+    sample = own.join(known.filter(drawn("__doc") < max(some, more)), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    sample = sample.filter(F.when(F.col("__bad").isNotNull(), drawn("doc_id") < some).otherwise(drawn("doc_id") < more))
     got = featured(sample, "doc_id", "text", ["__bad"]).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(CALIBRATES))).toArrow()
+    got = got.sort_by("doc_id")  # sums of doubles come out the same each time
     label = np.array([-1 if x is None else x for x in got["__bad"].to_pylist()], np.int64)
-    order = np.lexsort((np.asarray(got["text_ids"].combine_chunks().value_lengths()) if len(label) else label, np.asarray(got["doc_id"])))
-    got, label = got.take(pa.array(order)), label[order]
     return co_train(Sets.of(got["text_ids"]), Sets.of(got["meta_ids"]), label, np.asarray(got["h"]) == 0)
 
 
