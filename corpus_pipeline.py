@@ -33,9 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
-    found = secrets.scan(docs)
-    n = F.size("spans") > 0
-    cleaned = secrets.redact(found.withColumn("__found", n))
+    found = secrets.scan(docs, into="__spans").withColumn("__found", F.size("__spans") > 0)
+    cleaned = secrets.redact(found, spans="__spans")
     return cleaned.withColumn("n_chars", F.when(F.col("__found"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -82,17 +82,17 @@ def overlap(h: Column, hit: Column) -> Column:
     return let(equal, lambda e: F.array_max(F.transform(F.sequence(F.lit(0), n - width), lambda s: count(e, s)))) / width
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``leaked``: an array of (item_id, n_items, overlap), sorted, empty if clean.
+def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", into: str = "leaked") -> DataFrame:
+    """``docs`` with ``into``: an array of (item_id, n_items, overlap), sorted, empty if clean.
 
     Items of the same words count as one, under the smallest id, with their number. Null and empty
     texts are clean and leak nothing; items of fewer than five words have no seed and are not
     looked for. Repeated ids share hits, each row is compared on its own text; rows with a null id
-    get no hit and are clean. A column called ``leaked`` is replaced.
+    get no hit and are clean. A column of that name is replaced.
     """
     found = checkpointed(hits(docs.filter(F.col(id).isNotNull()), items_of(benchmark), id, text).withColumnsRenamed({"id": "__id", "hits": "__hits"}))
     small = found.limit(HIT_ROWS + 1).count() <= HIT_ROWS
-    joined = docs.drop("leaked").join(F.broadcast(found) if small else found, F.col(id) == F.col("__id"), "left")
+    joined = docs.drop(into).join(F.broadcast(found) if small else found, F.col(id) == F.col("__id"), "left")
     judged = lambda h, x: F.struct(x["item"].alias("item_id"), x["n_items"].alias("n_items"), overlap(h, x).alias("overlap"))
     compared = let(hashed(F.col(text)), lambda h: F.filter(F.transform("__hits", lambda x: judged(h, x)), lambda x: x["overlap"] >= SIMILARITY))
     joined = joined.withColumn("__judged", F.when(F.col("__hits").isNotNull(), compared))
@@ -102,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
         lambda i: F.array_max(F.filter("__judged", lambda x: x["item_id"] == i)),
     )
     none = F.array().cast("array<struct<item_id:bigint,n_items:bigint,overlap:double>>")
-    return joined.withColumn("leaked", F.coalesce(F.array_sort(best), none)).drop("__id", "__hits", "__judged")
+    return joined.withColumn(into, F.coalesce(F.array_sort(best), none)).drop("__id", "__hits", "__judged")
 
 
 def report(found: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -118,4 +118,4 @@ def report(found: DataFrame, id: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that leak no item, as they were."""
-    return contamination(docs, benchmark, id, text).filter(F.size("leaked") == 0).select(*docs.columns)
+    return contamination(docs, benchmark, id, text, "__leaked").filter(F.size("__leaked") == 0).select(*docs.columns)

@@ -197,12 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return co_train(Sets.of(got["text_ids"]), Sets.of(got["meta_ids"]), label, np.asarray(got["h"]) == 0)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``quality``, ``text_quality`` and ``meta_quality``: probabilities of being good, from the whole text.
+#: The columns that documents get.
+ADDED = ("quality", "text_quality", "meta_quality")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with probabilities of being good, from the whole text: of both views, of the text, of the metadata.
 
     Columns of these names are replaced. Null values are values of their own, a null text an empty one.
     """
-    names = ("quality", "text_quality", "meta_quality")
     docs = docs.drop(*names)
     meta = [c for c in META if c in docs.columns]
     kept = docs.columns
@@ -219,21 +222,21 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, least: float = 0.5, names: tuple[str, str, str] = ADDED, keep: str = "keep") -> DataFrame:
     """score()'s rows with ``keep``: whether the document is good with a probability of ``least`` or more.
 
     With no labelled row every document scores alike and is kept.
     """
     model = fit(docs, labels)
-    scored = score(docs, model)
+    scored = score(docs, model, names=names)
     if not len(model.text.features) and not len(model.meta.features):
-        return scored.withColumn("keep", F.lit(True))
-    return scored.withColumn("keep", F.col("quality") >= least)
+        return scored.withColumn(keep, F.lit(True))
+    return scored.withColumn(keep, F.col(names[0]) >= least)
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, as they were."""
-    return judged(docs, labels).filter("keep").select(*docs.columns)
+    return judged(docs, labels, names=("__both", "__of_text", "__of_meta"), keep="__keep").filter("__keep").select(*docs.columns)
 
 
 def columns(scored: DataFrame) -> list[Column]:

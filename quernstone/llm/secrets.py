@@ -217,17 +217,16 @@ def strings_head(pattern: str) -> str:
     return "".join(chr(arg) for op, arg in nodes if op is rc.LITERAL)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: ``(start, kind, end)`` of each secret, by start, then kind as listed.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", into: str = "spans") -> DataFrame:
+    """``docs`` with ``into``: ``(start, kind, end)`` of each secret, by start, then kind as listed.
 
     The index names each rule's candidates; the others get no span of that rule without a scan.
     A null text is an empty one; rows with a null id are candidates of every rule. Repeated ids
-    share candidates, each row is verified on its own text. Columns of ``docs`` keep their names;
-    one that is called ``spans`` is replaced.
+    share candidates, each row is verified on its own text. A column of that name is replaced.
     """
     postings = index(docs, rules, id, text)
     named = candidates(postings, rules).select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
-    joined = docs.drop("spans").join(named, F.col(id) == F.col("__id"), "left")
+    joined = docs.drop(into).join(named, F.col(id) == F.col("__id"), "left")
     empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     found, whole = [], F.coalesce(F.col(text), F.lit(""))
     for r in rules:
@@ -241,7 +240,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", t
         ka, kb = rank[a["kind"]], rank[b["kind"]]
         return F.when(a["start"] != b["start"], a["start"] - b["start"]).when(ka != kb, ka - kb).otherwise(a["end"] - b["end"])
 
-    return joined.withColumn("spans", F.array_sort(F.concat(*found), order)).drop("__id", "__kinds")
+    return joined.withColumn(into, F.array_sort(F.concat(*found), order)).drop("__id", "__kinds")
 
 
 def shown(spans: Column) -> Column:
@@ -257,8 +256,8 @@ def report(scanned: DataFrame, id: str = "doc_id") -> DataFrame:
     return scanned.select(F.col(id).alias("doc_id"), *n, F.sha2(shown(own), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
-def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """scan()'s rows with every span, overlapping ones as one, replaced by ``mask``; ``spans`` goes.
+def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]", spans: str = "spans") -> DataFrame:
+    """scan()'s rows with every span, overlapping ones as one, replaced by ``mask``; the spans go.
 
     Rows without a span keep their text, a null one too.
     """
@@ -270,5 +269,5 @@ def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Da
         inside = (s["start"] < acc["at"]) & (acc["at"] > 0)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
 
-    cleaned = F.aggregate("spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).drop("spans")
+    cleaned = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, cleaned).otherwise(F.col(text))).drop(spans)

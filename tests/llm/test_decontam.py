@@ -59,6 +59,7 @@ def test_against_brute_force(spark):
     assert 30 < sum(r.contaminated for r in got) < 130
     kept = decontam.clean(df, bench)
     assert kept.columns == ["doc_id", "text", "leaked"] and kept.count() == sum(not r.contaminated for r in got)
+    assert {r.leaked for r in kept.collect()} == {"x"}
 
 
 def test_shuffle_joins_agree(spark, monkeypatch):

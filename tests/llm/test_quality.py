@@ -39,6 +39,7 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r[c] <= 1 for r in got for c in ("quality", "text_quality", "meta_quality"))
     kept = quality.reject(df, labels)
     assert kept.columns == df.columns and kept.count() == sum(r.keep for r in got)
+    assert {r.quality for r in kept.collect()} <= {9.0, None}
 
 
 def test_nothing_labelled_and_empty(spark):
