@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontam, mixing, quality, secrets, simhash
-from quernstone.llm.common import ensure_checkpoint_dir, importable, table
+from quernstone.llm.common import drop_folder, ensure_checkpoint_dir, importable, table
 from quernstone.llm.queries import TARGETS
 
 
@@ -57,11 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written to the shared folder and read again."""
+    """The last stage's rows; each stage is written to the shared folder and read again, the one before it goes."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}.parquet")
     return docs

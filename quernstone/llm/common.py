@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "ensure_checkpoint_dir", "importable", "table"]
+__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "importable", "release", "table"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -18,6 +19,18 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner drop shuffle files that no plan needs any more, as after a checkpoint."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the folder, only the columns named."""
     importable(spark)
