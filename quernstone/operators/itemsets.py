@@ -52,15 +52,25 @@ def candidates(level: DataFrame, k: int) -> DataFrame:
     return made
 
 
-def itemset_levels(baskets: DataFrame, least: int, max_len: int | None = None) -> list[DataFrame]:
-    """``(items, support)`` of each level until one is empty."""
+def itemset_levels(baskets: DataFrame, least: int, max_len: int | None = None, first_pairs: str = "candidates") -> list[DataFrame]:
+    """``(items, support)`` of each level until one is empty.
+
+    Pairs are candidates like longer sets, or, with ``first_pairs="direct"``, counted as they occur in
+    baskets of frequent items, which saves making candidates of all pairs of those items.
+    """
+    if first_pairs not in ("candidates", "direct"):
+        raise ValueError("first_pairs is candidates or direct")
     held = checkpointed(baskets.distinct().join(frequent_items(baskets, least).select("item"), "item", "left_semi").select("tid", F.array("item").alias("items")))
     level = checkpointed(held.groupBy("items").agg(F.count(F.lit(1)).alias("support")))
     levels, k = [level], 2
     while (max_len is None or k <= max_len) and not level.isEmpty():
-        made = candidates(level.select("items"), k)
-        first = held.select("tid", F.col("items").alias("p1")).join(made, "p1")
-        both = first.join(held.select("tid", F.col("items").alias("p2")), ["tid", "p2"]).select("tid", "items")
+        if k == 2 and first_pairs == "direct":
+            a, b = (held.select("tid", F.col("items")[0].alias(c)) for c in "ab")
+            both = a.join(b, "tid").filter("a < b").select("tid", F.array("a", "b").alias("items"))
+        else:
+            made = candidates(level.select("items"), k)
+            first = held.select("tid", F.col("items").alias("p1")).join(made, "p1")
+            both = first.join(held.select("tid", F.col("items").alias("p2")), ["tid", "p2"]).select("tid", "items")
         counts = both.groupBy("items").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
         level = checkpointed(counts)
         held = checkpointed(both.join(level.select("items"), "items", "left_semi").select("tid", "items"))
@@ -69,10 +79,10 @@ def itemset_levels(baskets: DataFrame, least: int, max_len: int | None = None) -
     return levels
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float, max_len: int | None = None) -> DataFrame:
+def frequent_itemsets(baskets: DataFrame, min_support: float, max_len: int | None = None, first_pairs: str = "candidates") -> DataFrame:
     """``(size, items, support)``; items sorted and joined by ``|``."""
     n = baskets.agg(F.count_distinct("tid")).first()[0]
-    levels = itemset_levels(baskets, max(1, min_count(n, min_support)), max_len)
+    levels = itemset_levels(baskets, max(1, min_count(n, min_support)), max_len, first_pairs)
     every = reduce(DataFrame.unionByName, levels)
     return every.select(F.size("items").alias("size"), F.concat_ws("|", "items").alias("items"), "support")
 

@@ -94,6 +94,17 @@ def sets_of_types(spark, sf_dir) -> DataFrame:
     return fi.frequent_itemsets(baskets_of(spark, sf_dir, "p_type"), SUPPORT_TYPE)
 
 
+def sets_of_types_direct(spark, sf_dir) -> DataFrame:
+    return fi.frequent_itemsets(baskets_of(spark, sf_dir, "p_type"), SUPPORT_TYPE, first_pairs="direct")
+
+
+def baskets_with_pairs(spark, sf_dir) -> DataFrame:
+    """In how many baskets each frequent pair lies."""
+    b = baskets_of(spark, sf_dir, "p_type")
+    pairs = fi.frequent_pairs(b, least_of(b, SUPPORT_TYPE)).select(F.concat_ws("|", "a", "b").alias("set_id"), F.explode(F.array("a", "b")).alias("item"))
+    return fi.contained(pairs, b).groupBy("set_id").agg(F.count(F.lit(1)).alias("baskets"))
+
+
 def sets_of_brands(spark, sf_dir) -> DataFrame:
     return fi.frequent_itemsets(baskets_of(spark, sf_dir, "p_brand"), SUPPORT_BRAND)
 
@@ -156,6 +167,10 @@ REGISTRY = {
         f"WITH {EDGES_OP} SELECT DISTINCT dst AS id FROM edges WHERE dst NOT IN (SELECT src FROM edges)",
     ),
     "pagerank_edges_op": (lambda s, d: rounded(pagerank(edges_op(s, d), 3)), pagerank_sql(3)),
+    "pagerank_mass": (
+        lambda s, d: pagerank(edges_op(s, d), 3).agg(F.round(F.sum("pr"), 9).alias("mass"), F.count(F.lit(1)).alias("vertices")),
+        f"WITH {EDGES_OP} SELECT 1.0::DOUBLE AS mass, count(*) AS vertices FROM (SELECT src FROM edges UNION SELECT dst FROM edges)",
+    ),
     "pagerank_chain_10": (lambda s, d: rounded(pagerank_chain(s, 10, 6)), chain_sql(10, 6)),
     "pagerank_chain_100": (lambda s, d: rounded(pagerank_chain(s, 100, 2)), chain_sql(100, 2)),
     "support_threshold": (
@@ -176,6 +191,8 @@ REGISTRY = {
     ),
     "frequent_itemsets": (sets_of_types, f"{itemsets_sql('p_type', SUPPORT_TYPE)} SELECT size, items, support FROM sets"),
     "frequent_itemsets_brand": (sets_of_brands, f"{itemsets_sql('p_brand', SUPPORT_BRAND)} SELECT size, items, support FROM sets"),
+    "frequent_itemsets_direct": (sets_of_types_direct, f"{itemsets_sql('p_type', SUPPORT_TYPE)} SELECT size, items, support FROM sets"),
+    "contained_pairs": (baskets_with_pairs, f"{itemsets_sql('p_type', SUPPORT_TYPE, 2)} SELECT items AS set_id, support AS baskets FROM sets WHERE size = 2"),
     "itemset_histogram": (
         lambda s, d: fi.itemset_histogram(sets_of_types(s, d)),
         f"{itemsets_sql('p_type', SUPPORT_TYPE)} SELECT size, count(*) AS itemsets FROM sets GROUP BY size",

@@ -28,3 +28,5 @@ def test_random(spark):
     least = fi.min_count(30, 0.3)
     want = {"|".join(c): n for k in range(1, 7) for c in itertools.combinations("abcdef", k) if (n := sum(set(c) <= b for b in baskets)) >= least}
     assert {x.items_: x.support for x in got.withColumnRenamed("items", "items_").collect()} == want
+    direct = fi.frequent_itemsets(spark.createDataFrame(rows, "tid long, item string"), 0.3, first_pairs="direct")
+    assert {x.items_: x.support for x in direct.withColumnRenamed("items", "items_").collect()} == want
