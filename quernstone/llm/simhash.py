@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,9 @@ from quernstone.llm.common import checkpointed
 SEED, SHARD_ROWS, SAMPLE_ROWS, BLOCK_CELLS = 42, 16384, 65536, 1 << 20
 #: Word fingerprints of a text that similar() links by, and rows up to which a counted side is broadcast.
 VIEWS, BROADCAST_ROWS = 8, 200_000
+#: Bins of a sketch of a text's shingles, standard errors that an estimate may lie under the similarity, and the pairs
+#: of each text, by estimate, that are compared exactly.
+BINS, ERRORS, COMPARED = 128, 4, 2
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 17
 
@@ -348,19 +351,58 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ``edges (a, b)`` whose texts' shingle sets have at least that Jaccard similarity; ``docs`` as keyed() gives them."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """One-permutation MinHash of sorted hashes: a byte of the least hash in each bin, 0 for an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    bins, at = np.unique(shingles >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = 1 + shingles[at] % np.uint64(255)
+    return out.tobytes()
+
+
+def of_ends(docs: DataFrame, text: str, edges: DataFrame, width: int, make, kind: str) -> DataFrame:
+    """``(node, s)``: ``make`` of the shingles of each text on an edge; texts of one key have the same."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("__a")).distinct()
     small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [shingles_of(normal(x.as_py()), width).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int64()))], ["node", "s"])
+            made = pa.array([make(shingles_of(normal(x.as_py()), width)) for x in b.column(1)], arrow)
+            yield pa.RecordBatch.from_arrays([b.column(0), made], ["node", "s"])
 
+    arrow = pa.binary() if kind == "binary" else pa.list_(pa.int64())
     own = docs.select("__a", F.col(text).cast("binary").alias("t")).join(F.broadcast(ends) if small else ends, "__a", "left_semi")
-    # texts of one key have one set
-    held = checkpointed(own.mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")))
+    return checkpointed(own.mapInArrow(run, f"node long, s {kind}").groupBy("node").agg(F.first("s").alias("s")))
+
+
+def met(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """``(a, b, x, y)``: each edge with what is held of both ends."""
+    left = edges.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    return left.join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+
+
+def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``edges (a, b)`` whose texts' shingle sets have at least that Jaccard similarity; ``docs`` as keyed() gives them.
+
+    Sketches leave out pairs that are clearly under it; of the others the likeliest of each text are
+    compared by their whole sets.
+    """
+    sketches = of_ends(docs, text, edges, width, sketch, "binary")
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.stack([np.frombuffer(v.as_py(), np.uint8) for v in b.column(i)]) for i in (2, 3))
+            n = np.maximum(1, ((x > 0) | (y > 0)).sum(1))
+            alike = ((x == y) & (x > 0)).sum(1) / n
+            kept = pa.array(alike >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / n))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(alike).filter(kept)], ["a", "b", "alike"])
+
+    likely = checkpointed(met(edges, sketches).mapInArrow(estimated, "a long, b long, alike double"))
+    sides = likely.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("end"))
+    best = sides.withColumn("k", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("alike"), "a", "b"))).filter(F.col("k") <= COMPARED)
+    likely = checkpointed(best.select("a", "b").distinct())
+    sets = of_ends(docs, text, likely, width, lambda s: s.view(np.int64), "array<long>")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -372,8 +414,7 @@ def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarit
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
 
-    met = edges.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return met(likely, sets).mapInArrow(alike, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
