@@ -25,6 +25,9 @@ from quernstone.llm.features import word_ids
 #: Labelled rows to learn from and to scale posteriors with, at most about; buckets of words; pull to 1; iterations; error that ends them.
 SAMPLE_ROWS, SCALE_ROWS, BUCKETS, PULL, ITERATIONS, ENOUGH = 20_000, 4_000, 1 << 16, 1e-3, 80, 1e-6
 
+#: The columns that documents get.
+ADDED = ("tokens", "domain", "membership", "rate")
+
 
 @dataclass
 class Classifier:
@@ -117,9 +120,9 @@ def replayed(p: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rate, at
 
 
-def fit(members: DataFrame, target: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
-    """The errors of each step, over ``(t, p)``: a document's tokens and posterior."""
-    budget = members.agg(F.sum("t")).first()[0] or 0
+def fit(own: DataFrame, target: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
+    """The errors of each step, over ``(__t, __p)``: a document's tokens and posterior."""
+    budget = own.agg(F.sum("__t")).first()[0] or 0
     errors = np.zeros((0, len(target)))
     while budget and len(target) and len(errors) < iterations:
 
@@ -131,7 +134,7 @@ def fit(members: DataFrame, target: np.ndarray, iterations: int = ITERATIONS) ->
                     each = (t * replayed(p, errors)[1]) @ p
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(each))), pa.array(each)], ["k", "tokens"])
 
-        got = members.select("t", "p").mapInArrow(totals, "k long, tokens double").groupBy("k").agg(F.sum("tokens").alias("tokens")).collect()
+        got = own.select("__t", "__p").mapInArrow(totals, "k long, tokens double").groupBy("k").agg(F.sum("tokens").alias("tokens")).collect()
         error = np.zeros(len(target))
         for r in got:
             error[r.k] = r.tokens / budget
@@ -143,7 +146,39 @@ def fit(members: DataFrame, target: np.ndarray, iterations: int = ITERATIONS) ->
     return errors
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text: str = "text", iterations: int = ITERATIONS) -> DataFrame:
+def members(docs: DataFrame, model: Classifier, text: str, kept: list[str]) -> DataFrame:
+    """``kept`` columns of ``docs`` with ``__t`` and ``__p``: the tokens and the posterior of the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or b"" for t in b.column("__text")]
+            p = model.posteriors(model.likelihoods(texts)) if model.domains else np.empty((len(texts), 0))
+            more = [pa.array([tokens(t) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "__t", "__p"])
+
+    schema = T.StructType([docs.schema[c] for c in kept]).add("__t", T.LongType()).add("__p", T.ArrayType(T.DoubleType()))
+    return docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+
+
+def rated(own: DataFrame, model: Classifier, errors: np.ndarray) -> DataFrame:
+    """members()'s rows with ``tokens``, ``domain``, ``membership`` and ``rate``."""
+    kept = [c for c in own.columns if c not in ("__t", "__p")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if model.domains and n:
+                p = np.asarray(b.column("__p").flatten()).reshape(n, -1)
+                more = [pa.array([model.domains[k] for k in p.argmax(1)]), pa.array(p.max(1)), pa.array(replayed(p, errors)[0])]
+            else:
+                more = [pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.ones(n))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), b.column("__t"), *more], [*kept, *ADDED])
+
+    schema = T.StructType([own.schema[c] for c in kept]).add("tokens", "long").add("domain", "string").add("membership", "double").add("rate", "double")
+    return own.mapInArrow(run, schema)
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text: str = "text", keep: list[str] | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """``docs`` with ``tokens``, ``domain`` (the likeliest), ``membership`` (its posterior) and ``rate``.
 
     ``labelled (id, text, domain)`` teaches the domains; ``weights`` are the shares of all tokens aimed at,
@@ -151,38 +186,16 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text:
     in all stay those of the table. Null and empty texts have no tokens, the prior as posterior and a rate
     like others. With no labelled row, or no weight on a learned domain, rates are 1; the domain is
     null if none was learned. Every row comes back; columns of the four names are replaced.
+
+    ``keep`` names short columns to return instead of all: those go with the posteriors to the
+    checkpoint folder, and texts are read once; otherwise they are read again at the end.
     """
-    names = ("tokens", "domain", "membership", "rate")
-    docs = docs.drop(*names)
+    docs = docs.drop(*ADDED)
     model = learn(labelled)
     target = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() or b"" for t in b.column(0)]
-            p = model.posteriors(model.likelihoods(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([tokens(t) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["t", "p"])
-
-    errors = np.zeros((0, len(target)))
-    if target.sum() > 0:
-        own = checkpointed(docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(members, "t long, p array<double>"))
-        errors = fit(own, target / target.sum(), iterations)
-    kept = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() or b"" for t in b.column("__text")]
-            t = pa.array([tokens(x) for x in texts], pa.int64())
-            if model.domains and texts:
-                p = model.posteriors(model.likelihoods(texts))
-                best = p.argmax(1)
-                more = [t, pa.array([model.domains[k] for k in best]), pa.array(p.max(1)), pa.array(replayed(p, errors)[0])]
-            else:
-                more = [t, pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.float64()), pa.array(np.ones(len(texts)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, *names])
-
-    schema = T.StructType(list(docs.schema.fields)).add("tokens", "long").add("domain", "string").add("membership", "double").add("rate", "double")
-    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    own = checkpointed(members(docs, model, text, keep or []))
+    errors = fit(own, target / target.sum(), iterations) if target.sum() > 0 else np.zeros((0, len(target)))
+    return rated(own if keep else members(docs, model, text, docs.columns), model, errors)
 
 
 def vetted(docs: DataFrame, labels: DataFrame) -> DataFrame:

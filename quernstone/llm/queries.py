@@ -49,7 +49,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labelled = mixing.vetted(docs, table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs, labelled, TARGETS).select("doc_id", "tokens", "domain", "membership", "rate")
+    return mixing.mixed(docs, labelled, TARGETS, keep=["doc_id"])
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
