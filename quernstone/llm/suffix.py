@@ -23,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpointed
+from quernstone.llm.common import checkpointed, release
 
 WINDOW, GRAM = 100, 16
 #: Bytes of text handled at once, of runs to a package of a task, of runs to a shard as aimed at, of text to a suffix array.
-CHUNK, PACKAGE, SHARD, PART = 1 << 19, 48 << 20, 32 << 20, 4 << 20
+CHUNK, PACKAGE, SHARD, PART = 1 << 19, 32 << 20, 24 << 20, 1 << 20
 #: Documents sampled for frequent anchors, and the share of them from which an anchor is one.
 SAMPLED, FREQUENT = 2000, 0.05
 #: What a null id sorts as.
@@ -281,6 +281,20 @@ def repeated(texts: list[bytes], places: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
+def bounded(groups: list[list[tuple]]) -> Iterator[list[tuple]]:
+    """The runs of whole groups in lists of at most PART bytes; a larger group by itself."""
+    held, size = [], 0
+    for own in groups:
+        n = sum(len(r) for r, _ in own)
+        if held and size + n > PART:
+            yield held
+            held, size = [], 0
+        held += own
+        size += n
+    if held:
+        yield held
+
+
 def judged(t: pa.Table) -> pa.Table:
     """(id, key, lo, hi): the bytes that go, of one shard's packages."""
     first: dict[bytes, tuple] = {}
@@ -310,12 +324,12 @@ def judged(t: pa.Table) -> pa.Table:
     for run, (here, a) in first.items():
         by[run[a : a + GRAM]].append((run, here))
     # different runs of one anchor may share windows, unless each is a single window
-    shared = [x for own in by.values() if len(own) > 1 and any(len(r) > WINDOW for r, _ in own) for x in own]
+    shared = [own for own in by.values() if len(own) > 1 and any(len(r) > WINDOW for r, _ in own)]
     del first, by
-    if shared:
-        for found in repeated([r for r, _ in shared], np.array([h for _, h in shared], np.int64)):
+    for together in bounded(shared):
+        for found in repeated([r for r, _ in together], np.array([h for _, h in together], np.int64)):
             if len(found):
-                spans.append(np.column_stack([found, found[:, 2] + WINDOW]))
+                spans.append(united(np.column_stack([found, found[:, 2] + WINDOW])))
     rows = united(np.concatenate(spans)) if spans else np.empty((0, 4), np.int64)
     return pa.table({c: pa.array(np.ascontiguousarray(rows[:, i])) for i, c in enumerate(("id", "key", "lo", "hi"))})
 
@@ -387,6 +401,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("text"))
     own = own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text")
     found = checkpointed(repeats(own))
+    release(docs.sparkSession)
     spans = found.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     joined = own.join(spans, ["id", "key"], "left").select("doc_id", "text", "found")
 
