@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,15 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the cleaner drop shuffle files that no plan needs any more, as after a checkpoint."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the cleaner drop shuffle files that no plan needs any more, as after a checkpoint.
+
+    It learns of them from the collection of garbage here and in the JVM; what the first round frees
+    may hold more.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
