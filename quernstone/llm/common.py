@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "importable", "release", "table"]
+__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "importable", "release", "sliced", "table"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -26,6 +28,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of them stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the cleaner drop shuffle files that no plan needs any more, as after a checkpoint.
 

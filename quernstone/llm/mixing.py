@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import checkpointed
+from quernstone.llm.common import checkpointed, sliced
 from quernstone.llm.features import word_ids
 
 #: Labelled rows to learn from and to scale posteriors with, at most about; buckets of words; pull to 1; iterations; error that ends them.
@@ -102,7 +102,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
 
 def liker(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             z = model.likelihoods([t.as_py() for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(z), pa.list_(pa.float64()))], ["domain", "z"])
 
@@ -150,7 +150,7 @@ def members(docs: DataFrame, model: Classifier, text: str, kept: list[str]) -> D
     """``kept`` columns of ``docs`` with ``__t`` and ``__p``: the tokens and the posterior of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.as_py() or b"" for t in b.column("__text")]
             p = model.posteriors(model.likelihoods(texts)) if model.domains else np.empty((len(texts), 0))
             more = [pa.array([tokens(t) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
@@ -165,7 +165,7 @@ def rated(own: DataFrame, model: Classifier, errors: np.ndarray) -> DataFrame:
     kept = [c for c in own.columns if c not in ("__t", "__p")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n = b.num_rows
             if model.domains and n:
                 p = np.asarray(b.column("__p").flatten()).reshape(n, -1)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.common import sliced
 from quernstone.llm.features import meta_ids, text_ids
 
 #: Labelled and unlabelled documents sampled to learn from, at most about.
@@ -158,7 +159,7 @@ def featured(docs: DataFrame, id: str, text: str, more: list[str]) -> DataFrame:
     meta = [c for c in META if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             t, m = ids_of(b, "__text", meta)
             yield pa.RecordBatch.from_arrays([b.column(id), *(b.column(c) for c in more), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], [id, *more, "text_ids", "meta_ids"])
 
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, s
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             t, m = ids_of(b, "__text", meta)
             sets = [Sets(np.concatenate(x) if x else np.empty(0, np.int64), np.array([len(y) for y in x], np.int64)) for x in (t, m)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(1 - p) for p in model.bad(*sets))], [*kept, *names])

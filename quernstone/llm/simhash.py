@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import checkpointed
+from quernstone.llm.common import checkpointed, sliced
 
 #: Hash seed; fingerprints to a shard as aimed at; sampled fingerprints; comparisons done at once.
 SEED, SHARD_ROWS, SAMPLE_ROWS, BLOCK_CELLS = 42, 16384, 65536, 1 << 20
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     """``(doc_id, f)`` of every row, f as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             f = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "f"])
 
@@ -294,7 +294,7 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keys = [key_of(normal(x.as_py())) for x in b.column("__text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*kept, "__a", "__b"])
 
@@ -365,7 +365,7 @@ def of_ends(docs: DataFrame, text: str, edges: DataFrame, width: int, make, kind
     small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = pa.array([make(shingles_of(normal(x.as_py()), width)) for x in b.column(1)], arrow)
             yield pa.RecordBatch.from_arrays([b.column(0), made], ["node", "s"])
 
@@ -389,7 +389,7 @@ def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarit
     sketches = of_ends(docs, text, edges, width, sketch, "binary")
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if not b.num_rows:
                 continue
             x, y = (np.stack([np.frombuffer(v.as_py(), np.uint8) for v in b.column(i)]) for i in (2, 3))
@@ -405,7 +405,7 @@ def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarit
     sets = of_ends(docs, text, likely, width, lambda s: s.view(np.int64), "array<long>")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.asarray(x.values), np.asarray(y.values)
@@ -427,7 +427,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [normal(x.as_py()) for x in b.column(1)]
             keys = [key_of(t) for t in texts]
             views = pa.array([views_of(t).view(np.int64) for t in texts], pa.list_(pa.int64()))
