@@ -295,13 +295,13 @@ def bounded(groups: list[list[tuple]]) -> Iterator[list[tuple]]:
         yield held
 
 
-def judged(t: pa.Table) -> pa.Table:
+def judged(packages: Iterator[bytes]) -> pa.RecordBatch:
     """(id, key, lo, hi): the bytes that go, of one shard's packages."""
     first: dict[bytes, tuple] = {}
     gone: list[tuple] = []
     spans = []
-    for x in t["package"]:
-        joined, sizes, places, offsets, again, lengths = pickle.loads(zstandard.ZstdDecompressor().decompress(x.as_py()))
+    for package in packages:
+        joined, sizes, places, offsets, again, lengths = pickle.loads(zstandard.ZstdDecompressor().decompress(package))
         if len(lengths):
             spans.append(np.stack([again[0], again[1], again[2], again[2] + lengths], 1))
         at = 0
@@ -331,7 +331,7 @@ def judged(t: pa.Table) -> pa.Table:
             if len(found):
                 spans.append(united(np.column_stack([found, found[:, 2] + WINDOW])))
     rows = united(np.concatenate(spans)) if spans else np.empty((0, 4), np.int64)
-    return pa.table({c: pa.array(np.ascontiguousarray(rows[:, i])) for i, c in enumerate(("id", "key", "lo", "hi"))})
+    return pa.RecordBatch.from_pydict({c: pa.array(np.ascontiguousarray(rows[:, i])) for i, c in enumerate(("id", "key", "lo", "hi"))})
 
 
 def united(rows: np.ndarray) -> np.ndarray:
@@ -388,7 +388,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         yield out()
 
     packed = docs.select("id", "key", "text").mapInArrow(run, "shard long, package binary")
-    return packed.groupBy("shard").applyInArrow(judged, "id long, key long, lo long, hi long")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield judged(x.as_py() for b in batches for x in b.column(1))
+
+    # a partition for each shard, so that no task gets several by chance
+    return packed.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(judge, "id long, key long, lo long, hi long")
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
