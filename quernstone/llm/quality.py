@@ -100,15 +100,18 @@ class View:
 
 
 def learn(sets: Sets, y: np.ndarray, weight: np.ndarray) -> View:
-    """The features whose odds differ most surely between the classes, and a regression on those."""
+    """Of the features whose odds surely differ between the classes the surest and the most telling, and a regression on those."""
     bad, good = (np.bincount(sets.flat, np.repeat(weight * c, sets.sizes)) for c in (y, 1 - y))
     each = np.flatnonzero(bad + good)
     bad, good = bad[each] + 0.5, good[each] + 0.5
     n_bad, n_good = (weight * y).sum() + 1, (weight * (1 - y)).sum() + 1
     odds = np.log(bad / n_bad) - np.log(good / n_good)
     z = np.abs(odds) / np.sqrt(1 / bad + 1 / good)
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    features = np.sort(each[chosen[z[chosen] > 3]])
+    sure = np.flatnonzero(z > 3)
+    surest = sure[np.argsort(-z[sure], kind="stable")[: FEATURES // 2]]
+    rest = np.setdiff1d(sure, surest)
+    telling = rest[np.argsort(-np.abs(odds[rest]), kind="stable")[: FEATURES // 2]]
+    features = each[np.union1d(surest, telling)]
     return View(features, regress(sets.dense(features), y, weight))
 
 

@@ -73,3 +73,16 @@ def test_regression_and_margins():
     assert quality.sigmoid(b[1]) == pytest.approx(1 / 3, abs=1e-3) and quality.sigmoid(b.sum()) == pytest.approx(2 / 3, abs=1e-3)
     v = quality.View(np.array([3, 7]), np.array([1.0, 2.0, 0.5]))
     assert v.margins(sets([[3], [7, 3], [], [5]])).tolist() == [1.5, 3.5, 0.5, 0.5]
+
+
+def test_rare_telling_features_are_chosen_beside_sure_ones(monkeypatch):
+    monkeypatch.setattr(quality, "FEATURES", 4)
+    r = np.random.default_rng(4)
+    rows, y = [], []
+    for i in range(6000):
+        bad = i % 4 == 0
+        row = [k for k in range(10) if r.random() < (0.7 if bad else 0.3)]  # frequent, surely different
+        rows.append(row + [50] * (bad and i % 40 == 0))  # rare, in bad rows only
+        y.append(float(bad))
+    view = quality.learn(sets(rows), np.array(y), np.ones(len(y)))
+    assert 50 in view.features and len(view.features) == 4
