@@ -6,8 +6,10 @@ hit names an alignment (item, shift), and the words of both are compared along i
 leaks an item if, somewhere along an alignment, WINDOW words in a row (the whole item if it is
 shorter) are equal in a share of SIMILARITY or more.
 
-The first mask alone meets every window of 13 words with up to two replaced, wherever they are;
-the second serves items of 5 to 12 words.
+The first mask alone meets every window of 13 words with up to two replaced, wherever they are.
+Items of 5 to 12 words have masks of four words by their length, so that whatever may be replaced
+leaves a seed; shorter ones may differ in no word and are one seed. Only masks that the lengths of
+the items ask for are laid over documents.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import checkpointed
 
 #: Word positions that count, from the first.
-MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
+MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4))
+#: The masks, as places in MASKS, of an item of so many words; longer ones have the first, shorter ones one of all their words.
+SHORT = {5: (1, 2, 3, 4), 6: (1, 2), 7: (2,), 8: (1,), 9: (1,), 10: (1, 3), 11: (3,), 12: (1,)}
 WINDOW, SIMILARITY = 13, 0.8
 #: Rows up to which a counted side is broadcast; a shuffle joins larger ones.
 SEED_ROWS, HIT_ROWS = 2_000_000, 50_000
@@ -47,12 +51,23 @@ def seeds(h: Column, mask: tuple[int, ...]) -> Column:
     return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at))
 
 
-def placed(df: DataFrame, id: str) -> DataFrame:
-    """``(id, seed, at)`` of every seed of ``(id, h)``."""
-    first = F.greatest(F.size("h") - MASKS[0][-1], F.lit(0))
-    both = df.select(id, first.alias("first"), let(F.col("h"), lambda h: F.concat(*[seeds(h, m) for m in MASKS])).alias("seeds"))
-    flat = both.select(id, "first", F.posexplode("seeds").alias("at", "seed"))
-    return flat.select(id, "seed", F.when(F.col("at") < F.col("first"), F.col("at")).otherwise(F.col("at") - F.col("first")).alias("at"))
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """The masks of an item of ``n`` words: any words replaced that SIMILARITY permits leave a seed."""
+    if n < min(SHORT):
+        return [tuple(range(n))]
+    return [MASKS[k] for k in SHORT.get(n, (0,))]
+
+
+def placed(df: DataFrame, id: str, masks: dict[tuple[int, ...], list[int]], own: bool) -> DataFrame:
+    """``(id, seed, at)`` of every seed of ``(id, h)``; of items, ``own``, by the masks for their lengths."""
+    none = F.array().cast("array<struct<seed:bigint,at:int>>")
+    if not masks:
+        return df.select(id, F.explode(none).alias("s")).select(id, "s.seed", "s.at")
+    length = F.least(F.size("h"), F.lit(WINDOW))
+    laid = lambda h, m: F.transform(seeds(h, m), lambda x, i: F.struct(x.alias("seed"), i.alias("at")))
+    each = lambda h, m: F.when(length.isin(masks[m]), laid(h, m)).otherwise(none) if own else laid(h, m)
+    flat = df.select(id, F.explode(let(F.col("h"), lambda h: F.concat(*[each(h, m) for m in masks]))).alias("s"))
+    return flat.select(id, "s.seed", "s.at")
 
 
 def items_of(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
@@ -63,10 +78,14 @@ def items_of(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> D
 
 def hits(docs: DataFrame, items: DataFrame, id: str, text: str) -> DataFrame:
     """``(id, hits)``: for each id the alignments that share a seed, as (item, n_items, shift, ih)."""
-    own = placed(items.select(F.struct("item", "n_items", "ih").alias("i"), F.col("ih").alias("h")), "i")
+    masks: dict[tuple[int, ...], list[int]] = {}
+    for r in items.select(F.least(F.size("ih"), F.lit(WINDOW)).alias("n")).distinct().orderBy("n").collect():
+        for m in masks_of(r.n):
+            masks.setdefault(m, []).append(r.n)
+    own = placed(items.select(F.struct("item", "n_items", "ih").alias("i"), F.col("ih").alias("h")), "i", masks, True)
     own = own.select("seed", F.col("i"), F.col("at").alias("item_at")).distinct()
     small = own.limit(SEED_ROWS + 1).count() <= SEED_ROWS
-    theirs = placed(docs.select(F.col(id).alias("id"), hashed(F.col(text)).alias("h")), "id")
+    theirs = placed(docs.select(F.col(id).alias("id"), hashed(F.col(text)).alias("h")), "id", masks, False)
     met = theirs.join(F.broadcast(own) if small else own, "seed")
     aligned = met.select("id", "i", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hit = F.struct(F.col("i.item").alias("item"), F.col("i.n_items").alias("n_items"), "shift", F.col("i.ih").alias("ih"))
@@ -86,8 +105,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     """``docs`` with ``into``: an array of (item_id, n_items, overlap), sorted, empty if clean.
 
     Items of the same words count as one, under the smallest id, with their number. Null and empty
-    texts are clean and leak nothing; items of fewer than five words have no seed and are not
-    looked for. Repeated ids share hits, each row is compared on its own text; rows with a null id
+    texts are clean and leak nothing; an item of fewer than five words leaks if all of them are there
+    in a row. Repeated ids share hits, each row is compared on its own text; rows with a null id
     get no hit and are clean. A column of that name is replaced.
     """
     found = checkpointed(hits(docs.filter(F.col(id).isNotNull()), items_of(benchmark), id, text).withColumnsRenamed({"id": "__id", "hits": "__hits"}))

@@ -83,3 +83,19 @@ def test_empty(spark):
     assert decontam.contamination(no_docs, no_items).collect() == []
     some = spark.createDataFrame([(1, "a b c d e f", "x")], DOCS)
     assert [r.contaminated for r in decontam.report(decontam.contamination(some, no_items)).collect()] == [False]
+
+
+def test_short_items_with_words_replaced(spark):
+    """Every permitted substitution in items of 1 to 12 words, against overlaps without seeds."""
+    docs, want = [], []
+    items = {n: [f"n{n}x{j}" for j in range(n)] for n in range(1, 14)}
+    for n, w in items.items():
+        most = n - -(-8 * n // 10)
+        for k in range(most + 2):
+            for gone in itertools.combinations(range(n), k):
+                if k <= most or len(gone) == n or gone[0] % 3 == 0:
+                    docs.append((len(docs), "a b " + " ".join("other" if j in gone else x for j, x in enumerate(w)) + " c", None))
+                    want.append(str(n) if k <= most else "")
+    bench = spark.createDataFrame([(n, " ".join(w), 7) for n, w in items.items()], ITEMS)
+    got = {r.doc_id: r.item_ids for r in decontam.report(decontam.contamination(spark.createDataFrame(docs, DOCS), bench)).collect()}
+    assert [got[i] for i in range(len(docs))] == want
