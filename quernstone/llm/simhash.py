@@ -28,8 +28,12 @@ SEED, SHARD_ROWS, SAMPLE_ROWS, BLOCK_CELLS = 42, 16384, 65536, 1 << 20
 #: Word fingerprints of a text that similar() links by, and rows up to which a counted side is broadcast.
 VIEWS, BROADCAST_ROWS = 8, 200_000
 #: Bins of a sketch of a text's shingles, standard errors that an estimate may lie under the similarity, and the pairs
-#: of each text, by estimate, that are compared exactly.
-BINS, ERRORS, COMPARED = 128, 4, 2
+#: of each text, by estimate, that are compared in the first round; each later round takes GROWTH times as many.
+BINS, ERRORS, COMPARED, GROWTH = 128, 4, 2, 4
+#: Bands of a text's least hashes and hashes to a band: texts of a Jaccard similarity j share none with a chance of
+#: (1 - j ** BAND_ROWS) ** BANDS, 0.00003 at 0.8 and less above. Sketches compared at once.
+BANDS, BAND_ROWS, SKETCH_CELLS = 20, 4, 1 << 16
+MIXED = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.int64).view(np.uint64)
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 17
 
@@ -359,6 +363,16 @@ def sketch(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band of the least hashes of a text's shingles under BANDS * BAND_ROWS mixings."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64(2**64 - 1))
+    for lo in range(0, len(shingles), CHUNK >> 5):
+        each = (shingles[lo : lo + (CHUNK >> 5), None] ^ MIXED[0]) * (MIXED[1] | np.uint64(1))
+        least = np.minimum(least, each.min(0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)), np.uint64, BANDS)
+
+
 def of_ends(docs: DataFrame, text: str, edges: DataFrame, width: int, make, kind: str) -> DataFrame:
     """``(node, s)``: ``make`` of the shingles of each text on an edge; texts of one key have the same."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("__a")).distinct()
@@ -380,29 +394,80 @@ def met(edges: DataFrame, held: DataFrame) -> DataFrame:
     return left.join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
 
-def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ``edges (a, b)`` whose texts' shingle sets have at least that Jaccard similarity; ``docs`` as keyed() gives them.
+def estimates(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The share of equal bins of sketches, along the last axis, and whether the similarity is not clearly missed."""
+    n = np.maximum(1, ((x > 0) | (y > 0)).sum(-1))
+    alike = ((x == y) & (x > 0)).sum(-1) / n
+    return alike, alike >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / n)
 
-    Sketches leave out pairs that are clearly under it; of the others the likeliest of each text are
-    compared by their whole sets.
-    """
-    sketches = of_ends(docs, text, edges, width, sketch, "binary")
 
-    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stacked(sketches) -> np.ndarray:
+    return np.stack([np.frombuffer(v.as_py(), np.uint8) for v in sketches])
+
+
+def likely(edges: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, alike)``: the edges that sketches do not show to be clearly under the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            if not b.num_rows:
-                continue
-            x, y = (np.stack([np.frombuffer(v.as_py(), np.uint8) for v in b.column(i)]) for i in (2, 3))
-            n = np.maximum(1, ((x > 0) | (y > 0)).sum(1))
-            alike = ((x == y) & (x > 0)).sum(1) / n
-            kept = pa.array(alike >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / n))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(alike).filter(kept)], ["a", "b", "alike"])
-
-    likely = checkpointed(met(edges, sketches).mapInArrow(estimated, "a long, b long, alike double"))
-    sides = likely.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("end"))
-    best = sides.withColumn("k", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("alike"), "a", "b"))).filter(F.col("k") <= COMPARED)
-    likely = checkpointed(best.select("a", "b").distinct())
-    sets = of_ends(docs, text, likely, width, lambda s: s.view(np.int64), "array<long>")
+            if b.num_rows:
+                alike, kept = estimates(stacked(b.column(2)), stacked(b.column(3)), similarity)
+                kept = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(alike).filter(kept)], ["a", "b", "alike"])
+
+    return met(edges, sketches).mapInArrow(run, "a long, b long, alike double")
+
+
+def buckets_of(groups: DataFrame) -> DataFrame:
+    """``(bucket, n, node)``: nodes that share a band, n of them; buckets of the same nodes once."""
+    flat = groups.select(F.col("a").alias("node"), F.explode("bands").alias("bucket"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    sizes = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), *marks).filter("n > 1")
+    once = sizes.groupBy("n", "first", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return flat.join(once, "bucket").select("bucket", "n", "node")
+
+
+def ranked(s: np.ndarray, component: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, estimate) of each sketch with its partners from the ``lo``-th to before the ``hi``-th likeliest, unless of one component."""
+    step = max(1, SKETCH_CELLS // len(s))
+    for at in range(0, len(s), step):
+        alike, kept = estimates(s[at : at + step, None], s[None], similarity)
+        own = np.arange(len(alike))
+        kept[own, at + own] = False
+        alike = np.where(kept, alike, -1.0)
+        if hi - lo < len(s) - 1 or lo:
+            order = np.argsort(-alike, axis=1, kind="stable")[:, lo:hi]
+            i, j = np.repeat(own, order.shape[1]), order.ravel()
+        else:
+            i, j = np.nonzero(kept)
+        apart = (alike[i, j] >= 0) & (component[at + i] != component[j])
+        i, j = i[apart], j[apart]
+        yield at + i, j, alike[i, j]
+
+
+def proposed(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, lo: int, hi: int, similarity: float) -> DataFrame:
+    """``(a, b, alike)``: ranked() within each of the ``buckets`` that hold more than one component."""
+    own = buckets.filter(F.col("n") > lo + 1).join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    torn = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    own = checkpointed(own.join(torn, "bucket", "left_semi"))
+    shards = own.count() // SHARD_ROWS + 1
+
+    def within(t: pa.Table) -> pa.Table:
+        bucket, node = np.asarray(t["bucket"]), np.asarray(t["node"])
+        order = np.lexsort((node, bucket))
+        bucket, node, component, s = bucket[order], node[order], np.asarray(t["component"])[order], stacked(t["s"])[order]
+        starts = np.append(np.unique(bucket, return_index=True)[1], len(bucket))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for x, y in zip(starts, starts[1:]):
+            out += [(node[x + i], node[x + j], e) for i, j, e in ranked(s[x:y], component[x:y], lo, hi, similarity)]
+        return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("a", "b", "alike"), zip(*out))})
+
+    held = own.join(sketches, "node").select(F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard"), "bucket", "node", "component", "s")
+    return held.groupBy("shard").applyInArrow(within, "a long, b long, alike double")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges (a, b)`` whose texts' shingle sets have at least that Jaccard similarity."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -414,7 +479,54 @@ def verified(docs: DataFrame, text: str, edges: DataFrame, width: int, similarit
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
 
-    return met(likely, sets).mapInArrow(alike, "a long, b long")
+    return met(edges, sets).mapInArrow(alike, "a long, b long")
+
+
+def settled(pool: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``labels (node, component)`` after the pairs of ``pool (a, b, alike)``.
+
+    The likeliest pairs of each text are compared first; of the others, in ever larger rounds, those
+    that still join two components, until none is left.
+    """
+    once = pool.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "alike").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    sides = once.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("end"))
+    sides = sides.withColumn("k", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("alike"), "a", "b")))
+    placed = checkpointed(sides.groupBy("a", "b").agg(F.min("k").alias("k")))
+    most, lo, hi = placed.agg(F.max("k")).first()[0] or 0, 0, COMPARED
+    while lo < most:
+        part = placed.filter((F.col("k") > lo) & (F.col("k") <= hi))
+        for side in ("a", "b"):
+            of = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+            part = part.join(of, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        part = checkpointed(part.filter("of_a <> of_b").select("a", "b"))
+        new = checkpointed(verified(part, sets, similarity))
+        if not new.isEmpty():
+            labels = checkpointed(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        lo, hi = hi, GROWTH * hi
+    return labels
+
+
+def alike_groups(docs: DataFrame, text: str, groups: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """``(node, component)`` of the texts linked by that similarity; ``docs`` as keyed() gives them.
+
+    Candidates are the pairs that the trees propose and all pairs that share a band. Sketches leave out
+    those clearly under the similarity; every other one is compared by the whole sets unless its ends
+    are of one component by then.
+    """
+    sketches = groups.select(F.col("a").alias("node"), F.col("sketch").alias("s"))
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    buckets = checkpointed(buckets_of(groups))
+    largest, lo, hi = buckets.agg(F.max("n")).first()[0] or 0, 0, COMPARED
+    trees = likely(candidates(groups.select(F.col("a").alias("node"), "views"), radius), sketches, similarity)
+    pool = checkpointed(trees.unionByName(proposed(buckets, labels, sketches, lo, hi, similarity)))
+    # whoever has a likely partner proposes it here, so these are all the texts to be compared at all
+    sets = of_ends(docs, text, pool, width, lambda s: s.view(np.int64), "array<long>")
+    while True:
+        labels = settled(pool, labels, sets, similarity)
+        lo, hi = hi, GROWTH * hi
+        if lo + 1 >= largest:
+            return labels
+        pool = checkpointed(proposed(buckets, labels, sketches, lo, hi, similarity))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
@@ -422,7 +534,8 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
     Texts of the same words, but for case and white space, are one group; groups whose shingle sets of
     ``width`` words have a Jaccard similarity of at least ``similarity`` are linked. Links are sought by
-    VIEWS word fingerprints within ``radius`` bits, in vantage-point trees, and then compared exactly.
+    VIEWS word fingerprints within ``radius`` bits, in vantage-point trees, and by bands of least hashes
+    of the shingles, and then compared exactly.
     Null and empty texts are one group. Of repeated rows one stays; rows with a null id all stay.
     """
 
@@ -431,14 +544,15 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
             texts = [normal(x.as_py()) for x in b.column(1)]
             keys = [key_of(t) for t in texts]
             views = pa.array([views_of(t).view(np.int64) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), views], ["doc_id", "a", "b", "views"])
+            sets = [shingles_of(t, width) for t in texts]
+            bands = pa.array([bands_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sketches = pa.array([sketch(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), views, bands, sketches], ["doc_id", "a", "b", "views", "bands", "sketch"])
 
     cols = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter(F.col("doc_id").isNotNull())
-    rows = checkpointed(cols.mapInArrow(run, "doc_id long, a long, b long, views array<long>"))
-    groups = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.first("views").alias("views")))
-    nodes = groups.select(F.col("a").alias("node"), "views")
-    edges = checkpointed(candidates(nodes, radius))
-    named = components(verified(keyed(docs.select(id, text), text), text, edges, width, similarity))
+    rows = checkpointed(cols.mapInArrow(run, "doc_id long, a long, b long, views array<long>, bands array<long>, sketch binary"))
+    groups = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("views", "bands", "sketch"))))
+    named = alike_groups(keyed(docs.select(id, text), text), text, groups, width, similarity, radius)
     of = groups.join(named, groups.a == named.node, "left").select("a", "b", "least", F.coalesce("component", "a").alias("component"))
     best = of.groupBy("component").agg(F.min(F.struct("least", "a", "b")).alias("best"))
     # a row goes unless its group, key and id are the ones that stay

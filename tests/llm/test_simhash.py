@@ -160,3 +160,34 @@ def test_one_of_each_by_shuffles_and_empty(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
     assert a == sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [i for i in range(60) if i % 3 == 0]
     assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
+def kept_and_wanted(spark, texts):
+    """The ids that stay, and those that do by brute force over all pairs."""
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    return sorted(r.doc_id for r in got.collect()), sorted(set(label))
+
+
+def test_clusters_of_a_group_hold_together(spark):
+    """Texts whose likeliest partners are all of their own cluster."""
+    r = random.Random(6)
+    words, texts = [f"word{i}" for i in range(3000)], []
+    for _ in range(3):
+        base = r.choices(words, k=300)
+        for _ in range(6):
+            own = list(base)
+            for at in r.sample(range(0, 300, 10), 3):
+                own[at] = r.choice(words)
+            texts.append(" ".join(own))
+            for _ in range(5):
+                w = list(own)
+                w[r.randrange(300)] = r.choice(words)
+                texts.append(" ".join(w))
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want == [0, 36, 72]
