@@ -174,6 +174,20 @@ def kept_and_wanted(spark, texts):
     return sorted(r.doc_id for r in got.collect()), sorted(set(label))
 
 
+def test_copies_with_passages_appended_or_cut(spark):
+    r = random.Random(5)
+    words, texts = [f"word{i}" for i in range(3000)], []
+    for g in range(60):
+        base = r.choices(words, k=r.randrange(100, 300))
+        n = len(base)
+        texts.append(" ".join(base))
+        texts.append(" ".join(base + r.choices(words, k=int(n * (0.15, 0.2, 0.23)[g % 3]))))
+        cut = r.randrange(n // 6)
+        texts.append(" ".join(base[cut : n - (n // 6 - cut)]))
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want and len(want) < 70
+
+
 def test_clusters_of_a_group_hold_together(spark):
     """Texts whose likeliest partners are all of their own cluster."""
     r = random.Random(6)
