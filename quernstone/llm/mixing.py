@@ -3,13 +3,15 @@
 A classifier learned from a labelled table gives every document a posterior over domains. Rates,
 how often a document is taken, are then fitted so that the expected tokens of each domain meet
 its target: least squares over all documents by accelerated projected gradients, with a small
-pull of every rate to 1. What a document adds to a gradient depends only on its posterior and on
+pull of every rate to 1. Errors are taken relative to the domain's share of the tokens, so that a
+rare domain is fitted as fast and pulled as little as a frequent one. What a document adds to a gradient depends only on its posterior and on
 the errors of the domains so far, so an iteration is one aggregate of a few numbers, and tasks
 replay the errors so far instead of keeping state.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from quernstone.llm.common import checkpointed, sliced
 from quernstone.llm.features import word_ids
 
-#: Labelled rows to learn from and to scale posteriors with, at most about; buckets of words; pull to 1; iterations; change of the errors that ends them.
+#: Labelled rows to learn from and to scale posteriors with, at most about; buckets of words; pull to 1; iterations at most; norm of the projected gradient that ends them.
 SAMPLE_ROWS, SCALE_ROWS, BUCKETS, PULL, ITERATIONS, ENOUGH = 20_000, 4_000, 1 << 16, 1e-3, 80, 2e-5
 
 #: The columns that documents get.
@@ -109,40 +111,53 @@ def liker(model: Classifier):
     return run
 
 
-def replayed(p: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, the point that the next gradient is taken at) after the steps of ``errors``, from rates of 1."""
+def replayed(p: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, the point that the next gradient is taken at, the last projected gradient) after the steps of ``errors``, from rates of 1."""
     rate = at = np.ones(len(p))
-    step = 1 / (1 + PULL)
+    step, slope = 1 / (1 + PULL), np.zeros(len(p))
     for n, e in enumerate(errors):
         new = np.maximum(0.0, at - step * (p @ e + PULL * (at - 1)))
+        slope = (at - new) / step
         at = new + n / (n + 3) * (new - rate)
         rate = new
-    return rate, at
+    return rate, at, slope
 
 
-def fit(own: DataFrame, target: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
-    """The errors of each step, over ``(__t, __p)``: a document's tokens and posterior."""
+def fit(own: DataFrame, target: np.ndarray, iterations: int = ITERATIONS, domains: tuple[str, ...] = ()) -> np.ndarray:
+    """The errors of each step, over ``(__t, __p)``: a document's tokens and posterior; relative to the domains' shares.
+
+    Ends once the projected gradient, a root mean square over tokens, is under ENOUGH. What the last
+    step found is logged for each domain, as a warning if that was not reached.
+    """
     budget = own.agg(F.sum("__t")).first()[0] or 0
-    errors = np.zeros((0, len(target)))
-    while budget and len(target) and len(errors) < iterations:
+    errors, norm = np.zeros((0, len(target))), np.inf
+    share = np.ones(len(target))
+    while budget and len(target) and len(errors) < iterations and norm >= ENOUGH:
 
         def totals(batches: Iterator[pa.RecordBatch], errors=errors) -> Iterator[pa.RecordBatch]:
+            """Tokens of each domain, and the square of the last step's projected gradient."""
             for b in batches:
                 t = np.asarray(b.column(0)).astype(float)
                 p = np.asarray(b.column(1).flatten()).reshape(len(t), -1)
                 if len(t):
-                    each = (t * replayed(p, errors)[1]) @ p
+                    _, at, slope = replayed(p, errors)
+                    each = np.append((t * at) @ p, t @ slope**2)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(each))), pa.array(each)], ["k", "tokens"])
 
         got = own.select("__t", "__p").mapInArrow(totals, "k long, tokens double").groupBy("k").agg(F.sum("tokens").alias("tokens")).collect()
-        error = np.zeros(len(target))
+        sums = np.zeros(len(target) + 1)
         for r in got:
-            error[r.k] = r.tokens / budget
-        error -= target
-        moved = np.abs(error - errors[-1]).max() if len(errors) else 1.0
+            sums[r.k] = r.tokens / budget
+        if not len(errors):  # rates are 1 here
+            share = np.where(sums[:-1] > 0, sums[:-1], 1.0)
+        else:
+            norm = float(np.sqrt(sums[-1]))
+        error = (sums[:-1] - target) / share
         errors = np.vstack([errors, error])
-        if moved < ENOUGH:
-            break
+    if len(errors):
+        left = {k: round(float(e), 6) for k, e in zip(domains or range(len(target)), errors[-1] * share)}
+        level = logging.INFO if norm < ENOUGH else logging.WARNING
+        logging.getLogger(__name__).log(level, "mixing: %d steps, projected gradient %.2g (ends under %.2g), shares less targets %s", len(errors), norm, ENOUGH, left)
     return errors
 
 
@@ -194,7 +209,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text:
     model = learn(labelled)
     target = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
     own = checkpointed(members(docs, model, text, keep or []))
-    errors = fit(own, target / target.sum(), iterations) if target.sum() > 0 else np.zeros((0, len(target)))
+    errors = fit(own, target / target.sum(), iterations, model.domains) if target.sum() > 0 else np.zeros((0, len(target)))
     return rated(own if keep else members(docs, model, text, docs.columns), model, errors)
 
 

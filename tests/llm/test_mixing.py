@@ -56,3 +56,15 @@ def test_nothing_labelled_or_wanted(spark):
     some = spark.createDataFrame([(i, 1, 0) for i in range(30)], LABELS)
     assert {r.rate for r in mixing.mixed(df, mixing.vetted(df, some), {"zz": 1.0}).collect()} == {1.0}
     assert mixing.mixed(df.limit(0), mixing.vetted(df, some), {"a": 1.0}).collect() == []
+
+
+def test_rare_domain_reaches_its_target(spark):
+    """A domain of 0.1 % of the tokens, a target of 12 %."""
+    rows = [(100, [0.0, 1.0, 0.0])] * 399 + [(100, [0.0, 0.02, 0.98])] * 600 + [(100, [1.0, 0.0, 0.0])]
+    own = spark.createDataFrame(rows, "__t long, __p array<double>")
+    target = np.array([0.12, 0.48, 0.4])
+    t, p = np.array([x[0] for x in rows], float), np.array([x[1] for x in rows])
+    errors = mixing.fit(own, target)
+    rate = mixing.replayed(p, errors)[0]
+    assert len(errors) < mixing.ITERATIONS
+    assert np.abs((t * rate) @ p / t.sum() - target).max() < 1e-3
