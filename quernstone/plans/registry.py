@@ -12,6 +12,7 @@ from quernstone.operators.wordcount import word_count
 from quernstone.sources.readers import baskets_of, edges_from, edges_op, edges_ps, table
 
 EDGES_OP = "edges AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem, (SELECT count(*) AS n FROM part) WHERE l_orderkey < n AND l_partkey < n)"
+EDGES_ALL = "edges AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)"
 EDGES_PS = "edges AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem, (SELECT max(l_suppkey) + 1 AS n FROM lineitem) WHERE l_partkey < n AND l_suppkey < n)"
 SIMPLE = "simple AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)"
 SUPPORT_TYPE, SUPPORT_BRAND = 0.10, 0.02
@@ -203,5 +204,15 @@ REGISTRY = {
     ),
 }
 
+#: The queries that need no cap, over every edge; those of the names without _all keep the cap of their SQL.
+WHOLE = {
+    "in_out_degree": lambda s, d: g.degrees(all_edges(s, d)),
+    "adjacency": lambda s, d: g.adjacency(all_edges(s, d)).select("src", F.concat_ws("|", F.col("dsts").cast("array<string>")).alias("dsts")),
+    "dangling_vertices": lambda s, d: g.dangling_vertices(all_edges(s, d)),
+    "pagerank_edges_op": lambda s, d: rounded(pagerank(all_edges(s, d), 3)),
+    "pagerank_mass": lambda s, d: pagerank(all_edges(s, d), 3).agg(F.round(F.sum("pr"), 9).alias("mass"), F.count(F.lit(1)).alias("vertices")),
+}
+REGISTRY |= {f"{name}_all": (query, REGISTRY[name][1].replace(EDGES_OP, EDGES_ALL)) for name, query in WHOLE.items()}
+
 QUERIES = {name: query for name, (query, _) in REGISTRY.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in REGISTRY.items()}
