@@ -1,11 +1,10 @@
 """SimHash near-duplicates: fingerprints, and exact pairs by vantage-point trees.
 
 A tree over a bounded sample of fingerprints cuts Hamming space into shards: at each node those
-within the median distance of a vantage point go left, the others right. By the triangle
-inequality a ball of the link radius lies on one side unless its centre is that near to the
-boundary; only then is a fingerprint sent to shards beyond its own, and only to later ones, so
-that each pair meets once. Within a shard the same split goes on until blocks are small enough
-to compare. Shards return a spanning forest of their links, never all pairs; components of the
+in a small ball around a vantage point go left, the others right. By the triangle inequality a
+ball of the link radius lies on one side unless its centre is that near to the boundary; only then
+is a fingerprint sent to shards beyond its own, and only from outside a ball into it, so that each
+pair meets once. Within a shard splits go on at median distances until blocks are small enough to compare. Shards return a spanning forest of their links, never all pairs; components of the
 whole come from alternating large and small stars.
 """
 
@@ -23,16 +22,18 @@ from pyspark.sql import types as T
 
 from quernstone.llm.common import checkpointed, sliced
 
-#: Hash seed; fingerprints to a shard as aimed at; sampled fingerprints; comparisons done at once.
-SEED, SHARD_ROWS, SAMPLE_ROWS, BLOCK_CELLS = 42, 16384, 65536, 1 << 20
-#: Word fingerprints of a text that similar() links by, and rows up to which a counted side is broadcast.
-VIEWS, BROADCAST_ROWS = 8, 200_000
-#: Bins of a sketch of a text's shingles, standard errors that an estimate may lie under the similarity, and the pairs
-#: of each text, by estimate, that are compared in the first round; each later round takes GROWTH times as many.
-BINS, ERRORS, COMPARED, GROWTH = 128, 4, 2, 4
+#: Hash seed; fingerprints to a shard as aimed at; sampled fingerprints, how many of them a ball is chosen by, and vantage points tried; comparisons done at once.
+SEED, SHARD_ROWS, SAMPLE_ROWS, NEAR_ROWS, TRIED, BLOCK_CELLS = 42, 4096, 262_144, 65_536, 16, 1 << 20
+#: Word fingerprints of a text that one_of_each() links by, and rows up to which a counted side is broadcast.
+VIEWS, BROADCAST_ROWS = 2, 200_000
+#: Bins of a sketch of a text's shingles, standard errors that an estimate may lie under the similarity, and the likeliest
+#: partners of a text in each cell that are compared before all others.
+BINS, ERRORS, LIKELIEST = 128, 4, 2
 #: Bands of a text's least hashes and hashes to a band: texts of a Jaccard similarity j share none with a chance of
-#: (1 - j ** BAND_ROWS) ** BANDS, 0.00003 at 0.8 and less above. Sketches compared at once.
-BANDS, BAND_ROWS, SKETCH_CELLS = 20, 4, 1 << 16
+#: (1 - j ** BAND_ROWS) ** BANDS, 0.00003 at 0.8 and less above.
+BANDS, BAND_ROWS = 20, 4
+#: Nodes to a side of a cell of a bucket, nodes to a task, and sketches compared at once.
+CELL_ROWS, TASK_ROWS, SKETCH_CELLS = 4096, 16384, 1 << 16
 MIXED = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.int64).view(np.uint64)
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 17
@@ -95,31 +96,52 @@ def vantage(points: np.ndarray) -> tuple[np.uint64, int] | None:
     return None
 
 
-def build(sample: np.ndarray, leaf: int) -> list[tuple]:
+def ball(points: np.ndarray, leaf: int, radius: int) -> tuple[np.uint64, int]:
+    """A vantage point and the radius of a ball around it that holds about ``leaf`` of the distinct points, half of them at most.
+
+    Distances to a point crowd around their median, so a cut there has most balls of the link radius on
+    both sides. A small ball lies where few points are: of a few vantage points that one is taken for which
+    the fewest points are near the cut for each point within.
+    """
+    near = points[:: max(1, len(points) // NEAR_ROWS)]
+    most = max(1, int(len(near) * min(0.5, 1.5 * leaf / len(points))))
+    best = None
+    for v in points[:: max(1, len(points) // TRIED)][:TRIED]:
+        upto = np.cumsum(np.bincount(distance(near, v), minlength=65 + radius))
+        mu = max(0, int(np.searchsorted(upto[:65], most, side="right")) - 1)
+        cost = upto[mu + radius] / max(1, upto[mu])
+        if best is None or cost < best[0]:
+            best = cost, v, mu
+    return best[1:]
+
+
+def build(sample: np.ndarray, leaf: int, radius: int = 3) -> list[tuple]:
     """The tree as a list of nodes: ("leaf", shard) or ("node", vantage point, radius, left, right)."""
-    nodes: list = []
-    shards = 0
-
-    def grow(points: np.ndarray) -> int:
-        nonlocal shards
-        at = len(nodes)
-        nodes.append(None)
-        cut = vantage(points) if len(points) > leaf else None
-        if cut is None:
+    nodes: list = [None]
+    shards, stack = 0, [(0, sample)]
+    while stack:
+        at, points = stack.pop()
+        if len(points) <= 2 * leaf:
             nodes[at] = ("leaf", shards)
             shards += 1
-        else:
-            p, mu = cut
-            d = distance(points, p)
-            nodes[at] = ("node", p, mu, grow(points[d <= mu]), grow(points[d > mu]))
-        return at
-
-    grow(sample)
+            continue
+        v, mu = ball(points, leaf, radius)
+        d = distance(points, v)
+        nodes[at] = ("node", v, mu, len(nodes), len(nodes) + 1)
+        stack += [(len(nodes), points[d <= mu]), (len(nodes) + 1, points[d > mu])]
+        nodes += [None, None]
     return nodes
 
 
+def sampled(nodes: DataFrame, rows: int, n: int) -> np.ndarray:
+    """About ``rows`` of the ``n`` fingerprints ``f``, by a hash of them; all if they are fewer."""
+    least = int(1_000_000_000 * min(1.0, rows / max(n, 1))) + 1
+    got = nodes.filter(F.pmod(F.xxhash64("f", F.lit("sample")), F.lit(1_000_000_000)) < least).select("f").toArrow()
+    return np.sort(np.asarray(got["f"])).view(np.uint64)
+
+
 def routed(f: np.ndarray, tree: list[tuple], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, shard, home): each fingerprint's own shard, and the later ones that its ball reaches."""
+    """(position, shard, home): each fingerprint's own shard, and the earlier ones that its ball reaches."""
     at, shard, own = [], [], []
     stack = [(0, np.arange(len(f)), np.ones(len(f), bool))]
     while stack:
@@ -135,11 +157,12 @@ def routed(f: np.ndarray, tree: list[tuple], radius: int) -> tuple[np.ndarray, n
         _, p, mu, left, right = node
         d = distance(f[idx], p)
         inner = d <= mu
-        # what is at home on the left visits the right, not the other way: each pair meets in the later shard
-        go_left = np.where(home, inner, d - radius <= mu)
-        stack.append((left, idx[go_left], home[go_left]))
-        go_right = d + radius > mu
-        stack.append((right, idx[go_right], home[go_right] & ~inner[go_right]))
+        # what is at home outside the ball visits it, not the other way: each pair meets in the earlier shard, and
+        # a shard has about as many visitors as points are that near to its ball
+        go_left = d - radius <= mu
+        stack.append((left, idx[go_left], home[go_left] & inner[go_left]))
+        go_right = np.where(home, ~inner, d + radius > mu)
+        stack.append((right, idx[go_right], home[go_right]))
     none = np.empty(0, np.int64)
     return tuple(np.concatenate(x) if x else none for x in (at, shard, own))
 
@@ -224,9 +247,8 @@ def components(edges: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """``(a, b)``: a spanning forest of the links among ``nodes (f, node)``, f unique."""
     n = nodes.count()
-    sample = nodes.select("f").orderBy(F.xxhash64("f"), "f").limit(SAMPLE_ROWS).collect()
-    sample = np.array([r.f for r in sample], np.int64).view(np.uint64)
-    tree = build(sample, max(32, len(sample) * SHARD_ROWS // max(n, 1)))
+    sample = sampled(nodes, SAMPLE_ROWS, n)
+    tree = build(sample, max(32, len(sample) * SHARD_ROWS // max(n, 1)), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,22 +310,24 @@ def views_of(words: bytes) -> np.ndarray:
 
 def shingles_of(words: bytes, width: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles, sorted; of fewer words the whole is one."""
-    w = words.split(b" ") if words else []
-    parts = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else [b""]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+    ends = np.flatnonzero(np.frombuffer(words + b" ", np.uint8) == 32)
+    if len(ends) <= width:
+        return np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
+    starts = np.concatenate([[0], ends[: len(ends) - width] + 1]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(words[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the key of their words as ``__a`` and ``__b``."""
-    kept = docs.columns
+    """``(row, key_a, key_b)``: each row of ``docs`` as a struct, and the key of its words."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            keys = [key_of(normal(x.as_py())) for x in b.column("__text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*kept, "__a", "__b"])
+            keys = [key_of(normal(x.as_py())) for x in b.column(0).field(text).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], ["row", "key_a", "key_b"])
 
-    schema = T.StructType(list(docs.schema.fields)).add("__a", "long").add("__b", "long")
-    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("key_a", "long").add("key_b", "long"))
 
 
 def neighbours(f: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,9 +354,8 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     n = max(1, same.count() // VIEWS)
     trees = []
     for v in range(VIEWS):
-        sample = same.filter(F.col("view") == v).select("f").orderBy(F.xxhash64("f"), "f").limit(SAMPLE_ROWS // VIEWS).collect()
-        sample = np.array([r.f for r in sample], np.int64).view(np.uint64)
-        trees.append(build(sample, max(32, len(sample) * SHARD_ROWS // n)))
+        sample = sampled(same.filter(F.col("view") == v), SAMPLE_ROWS // VIEWS, n)
+        trees.append(build(sample, max(32, len(sample) * SHARD_ROWS // n), radius))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,11 +379,11 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """One-permutation MinHash of sorted hashes: a byte of the least hash in each bin, 0 for an empty bin."""
+    """One-permutation MinHash of sorted hashes, a byte of the least hash in each bin, 0 for an empty bin; then their number."""
     out = np.zeros(BINS, np.uint8)
     bins, at = np.unique(shingles >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
     out[bins.astype(np.int64)] = 1 + shingles[at] % np.uint64(255)
-    return out.tobytes()
+    return out.tobytes() + len(shingles).to_bytes(8, "little")
 
 
 def bands_of(shingles: np.ndarray) -> np.ndarray:
@@ -373,19 +396,18 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)), np.uint64, BANDS)
 
 
-def of_ends(docs: DataFrame, text: str, edges: DataFrame, width: int, make, kind: str) -> DataFrame:
-    """``(node, s)``: ``make`` of the shingles of each text on an edge; texts of one key have the same."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("__a")).distinct()
+def sets_of(docs: DataFrame, text: str, edges: DataFrame, width: int) -> DataFrame:
+    """``(node, s)``: the shingles of each text on an edge; texts of one key have the same."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
     small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            made = pa.array([make(shingles_of(normal(x.as_py()), width)) for x in b.column(1)], arrow)
+            made = pa.array([shingles_of(normal(x.as_py()), width).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), made], ["node", "s"])
 
-    arrow = pa.binary() if kind == "binary" else pa.list_(pa.int64())
-    own = docs.select("__a", F.col(text).cast("binary").alias("t")).join(F.broadcast(ends) if small else ends, "__a", "left_semi")
-    return checkpointed(own.mapInArrow(run, f"node long, s {kind}").groupBy("node").agg(F.first("s").alias("s")))
+    own = docs.select(F.col("key_a").alias("end"), F.col("row")[text].cast("binary").alias("t")).join(F.broadcast(ends) if small else ends, "end", "left_semi")
+    return own.mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
 
 def met(edges: DataFrame, held: DataFrame) -> DataFrame:
@@ -395,10 +417,16 @@ def met(edges: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def estimates(x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The share of equal bins of sketches, along the last axis, and whether the similarity is not clearly missed."""
+    """The share of equal bins of sketches, along the last axis, and whether the similarity is not clearly missed.
+
+    It is missed for sure where one text has too few shingles for the other's.
+    """
+    size = [np.ascontiguousarray(s[..., BINS:]).view("<u8")[..., 0].astype(float) for s in (x, y)]
+    x, y = x[..., :BINS], y[..., :BINS]
     n = np.maximum(1, ((x > 0) | (y > 0)).sum(-1))
     alike = ((x == y) & (x > 0)).sum(-1) / n
-    return alike, alike >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / n)
+    fits = np.minimum(*size) >= similarity * np.maximum(*size) - 1e-6
+    return alike, fits & (alike >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / n))
 
 
 def stacked(sketches) -> np.ndarray:
@@ -406,64 +434,82 @@ def stacked(sketches) -> np.ndarray:
 
 
 def likely(edges: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, alike)``: the edges that sketches do not show to be clearly under the similarity."""
+    """The edges ``(a, b)`` that sketches do not show to be clearly under the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             if b.num_rows:
-                alike, kept = estimates(stacked(b.column(2)), stacked(b.column(3)), similarity)
-                kept = pa.array(kept)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(alike).filter(kept)], ["a", "b", "alike"])
+                kept = pa.array(estimates(stacked(b.column(2)), stacked(b.column(3)), similarity)[1])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
 
-    return met(edges, sketches).mapInArrow(run, "a long, b long, alike double")
+    return met(edges, sketches).mapInArrow(run, "a long, b long")
 
 
 def buckets_of(groups: DataFrame) -> DataFrame:
-    """``(bucket, n, node)``: nodes that share a band, n of them; buckets of the same nodes once."""
+    """``(bucket, first, node)``: nodes that share a band, the smallest of them first; buckets of the same nodes once."""
     flat = groups.select(F.col("a").alias("node"), F.explode("bands").alias("bucket"))
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     sizes = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), *marks).filter("n > 1")
-    once = sizes.groupBy("n", "first", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    return flat.join(once, "bucket").select("bucket", "n", "node")
-
-
-def ranked(s: np.ndarray, component: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, estimate) of each sketch with its partners from the ``lo``-th to before the ``hi``-th likeliest, unless of one component."""
-    step = max(1, SKETCH_CELLS // len(s))
-    for at in range(0, len(s), step):
-        alike, kept = estimates(s[at : at + step, None], s[None], similarity)
-        own = np.arange(len(alike))
-        kept[own, at + own] = False
-        alike = np.where(kept, alike, -1.0)
-        if hi - lo < len(s) - 1 or lo:
-            order = np.argsort(-alike, axis=1, kind="stable")[:, lo:hi]
-            i, j = np.repeat(own, order.shape[1]), order.ravel()
+    once = sizes.groupBy("n", "first", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "first")
+    return flat.join(once, "bucket").select("bucket", "first", "node")
+
+
+def torn(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(bucket, node, component, minor, n, minors)`` of the buckets that hold several components.
+
+    minor: not of the bucket's largest component; n nodes are in the bucket, minors of them such.
+    """
+    own = buckets.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    parts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most")).filter("n > most.m")
+    sizes = sizes.select("bucket", "n", (F.col("n") - F.col("most.m")).alias("minors"), F.col("most.component").alias("major"))
+    return own.join(sizes, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("major")).alias("minor"), "n", "minors")
+
+
+def crossed(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, similarity: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of sketches of different components that may be as similar, for each i the likeliest ``most`` or all."""
+    step = max(1, SKETCH_CELLS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        alike, kept = estimates(x[at : at + step, None], y[None], similarity)
+        kept &= of_x[at : at + step, None] != of_y[None]
+        if most is not None and most < len(y):
+            j = np.argpartition(-np.where(kept, alike, -1.0), most - 1, axis=1)[:, :most]
+            i = np.repeat(np.arange(len(j)), most)
+            j = j.ravel()
+            yield at + i[kept[i, j]], j[kept[i, j]]
         else:
             i, j = np.nonzero(kept)
-        apart = (alike[i, j] >= 0) & (component[at + i] != component[j])
-        i, j = i[apart], j[apart]
-        yield at + i, j, alike[i, j]
+            yield at + i, j
+
 
+def proposed(own: DataFrame, sketches: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """``(a, b)``: crossed() in each bucket of torn()'s rows, of what is not in its largest component with all else.
 
-def proposed(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, lo: int, hi: int, similarity: float) -> DataFrame:
-    """``(a, b, alike)``: ranked() within each of the ``buckets`` that hold more than one component."""
-    own = buckets.filter(F.col("n") > lo + 1).join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    torn = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    own = checkpointed(own.join(torn, "bucket", "left_semi"))
-    shards = own.count() // SHARD_ROWS + 1
+    A bucket is dealt out as a grid of cells with about CELL_ROWS nodes to a side.
+    """
+    over = lambda c: F.ceil(F.col(c) / CELL_ROWS).cast("long")
+    part = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), over(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), over(c) - 1))
+    left = own.filter("minor").withColumn("l", part("minors")).withColumn("r", every("n")).withColumn("left", F.lit(True))
+    right = own.withColumn("r", part("n")).withColumn("l", every("minors")).withColumn("left", F.lit(False))
+    cells = left.select("bucket", "l", "r", "left", "node", "component").unionByName(right.select("bucket", "l", "r", "left", "node", "component"))
+    cells = checkpointed(cells)
+    shards = cells.count() // TASK_ROWS + 1
 
     def within(t: pa.Table) -> pa.Table:
-        bucket, node = np.asarray(t["bucket"]), np.asarray(t["node"])
-        order = np.lexsort((node, bucket))
-        bucket, node, component, s = bucket[order], node[order], np.asarray(t["component"])[order], stacked(t["s"])[order]
-        starts = np.append(np.unique(bucket, return_index=True)[1], len(bucket))
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for x, y in zip(starts, starts[1:]):
-            out += [(node[x + i], node[x + j], e) for i, j, e in ranked(s[x:y], component[x:y], lo, hi, similarity)]
-        return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("a", "b", "alike"), zip(*out))})
+        key, left = np.stack([np.asarray(t[c]) for c in ("bucket", "l", "r")], 1), np.asarray(t["left"]).astype(bool)
+        node, component, s = np.asarray(t["node"]), np.asarray(t["component"]), stacked(t["s"])
+        _, cell = np.unique(key, axis=0, return_inverse=True)
+        order = np.argsort(cell.ravel(), kind="stable")
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for own in np.split(order, np.flatnonzero(np.diff(cell.ravel()[order])) + 1):
+            x, y = own[left[own]], own[~left[own]]
+            out += [(node[x[i]], node[y[j]]) for i, j in crossed(s[x], component[x], s[y], component[y], similarity, most)]
+        a, b = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
-    held = own.join(sketches, "node").select(F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard"), "bucket", "node", "component", "s")
-    return held.groupBy("shard").applyInArrow(within, "a long, b long, alike double")
+    held = cells.join(sketches, "node").withColumn("shard", F.pmod(F.xxhash64("bucket", "l", "r"), F.lit(shards)))
+    return held.groupBy("shard").applyInArrow(within, "a long, b long").distinct()
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -482,51 +528,47 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met(edges, sets).mapInArrow(alike, "a long, b long")
 
 
-def settled(pool: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``labels (node, component)`` after the pairs of ``pool (a, b, alike)``.
-
-    The likeliest pairs of each text are compared first; of the others, in ever larger rounds, those
-    that still join two components, until none is left.
-    """
-    once = pool.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "alike").groupBy("a", "b").agg(F.max("alike").alias("alike"))
-    sides = once.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("end"))
-    sides = sides.withColumn("k", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("alike"), "a", "b")))
-    placed = checkpointed(sides.groupBy("a", "b").agg(F.min("k").alias("k")))
-    most, lo, hi = placed.agg(F.max("k")).first()[0] or 0, 0, COMPARED
-    while lo < most:
-        part = placed.filter((F.col("k") > lo) & (F.col("k") <= hi))
-        for side in ("a", "b"):
-            of = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-            part = part.join(of, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        part = checkpointed(part.filter("of_a <> of_b").select("a", "b"))
-        new = checkpointed(verified(part, sets, similarity))
-        if not new.isEmpty():
-            labels = checkpointed(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-        lo, hi = hi, GROWTH * hi
-    return labels
+def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels (node, component)`` after further ``edges`` between nodes."""
+    for side in ("a", "b"):
+        of = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        edges = edges.join(of, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    top = checkpointed(components(edges.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    up = top.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    old = labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return checkpointed(old.unionByName(top.join(labels, "node", "left_anti")))
 
 
 def alike_groups(docs: DataFrame, text: str, groups: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     """``(node, component)`` of the texts linked by that similarity; ``docs`` as keyed() gives them.
 
-    Candidates are the pairs that the trees propose and all pairs that share a band. Sketches leave out
-    those clearly under the similarity; every other one is compared by the whole sets unless its ends
-    are of one component by then.
+    First every node of a bucket is compared with the smallest in it, and what the trees propose. In the
+    buckets that hold several components after that, what is not in the largest one is compared with all
+    of other components: the likeliest partners first, then every pair that sketches do not show to be
+    clearly under the similarity. So each pair that shares a band is compared by the whole sets, or is
+    of one component, or clearly unlike.
     """
     sketches = groups.select(F.col("a").alias("node"), F.col("sketch").alias("s"))
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     buckets = checkpointed(buckets_of(groups))
-    largest, lo, hi = buckets.agg(F.max("n")).first()[0] or 0, 0, COMPARED
-    trees = likely(candidates(groups.select(F.col("a").alias("node"), "views"), radius), sketches, similarity)
-    pool = checkpointed(trees.unionByName(proposed(buckets, labels, sketches, lo, hi, similarity)))
-    # whoever has a likely partner proposes it here, so these are all the texts to be compared at all
-    sets = of_ends(docs, text, pool, width, lambda s: s.view(np.int64), "array<long>")
-    while True:
-        labels = settled(pool, labels, sets, similarity)
-        lo, hi = hi, GROWTH * hi
-        if lo + 1 >= largest:
+    stars = buckets.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    trees = candidates(groups.select(F.col("a").alias("node"), "views"), radius)
+    edges = checkpointed(likely(stars.unionByName(trees).distinct(), sketches, similarity))
+    for most in (LIKELIEST, None):
+        labels = linked(docs, text, labels, edges, width, similarity)
+        own = checkpointed(torn(buckets, labels))
+        if own.isEmpty():
             return labels
-        pool = checkpointed(proposed(buckets, labels, sketches, lo, hi, similarity))
+        edges = checkpointed(proposed(own, sketches, similarity, most))
+    return linked(docs, text, labels, edges, width, similarity)
+
+
+def linked(docs: DataFrame, text: str, labels: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``labels`` after the ``edges`` that hold when the whole sets are compared."""
+    if edges.isEmpty():
+        return labels
+    sets = checkpointed(sets_of(docs, text, edges, width))
+    return contracted(labels, checkpointed(verified(edges, sets, similarity)))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
@@ -535,8 +577,9 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     Texts of the same words, but for case and white space, are one group; groups whose shingle sets of
     ``width`` words have a Jaccard similarity of at least ``similarity`` are linked. Links are sought by
     VIEWS word fingerprints within ``radius`` bits, in vantage-point trees, and by bands of least hashes
-    of the shingles, and then compared exactly.
-    Null and empty texts are one group. Of repeated rows one stays; rows with a null id all stay.
+    of the shingles, and then compared exactly; see alike_groups.
+    Null and empty texts are one group. Of repeated rows one stays; rows with a null id all stay. Empty
+    tables give no rows; other columns are carried along, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,21 +595,26 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     cols = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter(F.col("doc_id").isNotNull())
     rows = checkpointed(cols.mapInArrow(run, "doc_id long, a long, b long, views array<long>, bands array<long>, sketch binary"))
     groups = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("views", "bands", "sketch"))))
-    named = alike_groups(keyed(docs.select(id, text), text), text, groups, width, similarity, radius)
+    here = keyed(docs, text)
+    named = alike_groups(here, text, groups, width, similarity, radius)
     of = groups.join(named, groups.a == named.node, "left").select("a", "b", "least", F.coalesce("component", "a").alias("component"))
     best = of.groupBy("component").agg(F.min(F.struct("least", "a", "b")).alias("best"))
-    # a row goes unless its group, key and id are the ones that stay
-    ruled = rows.select("doc_id", "a", "b").join(of.join(best, "component").select("a", "b", "best"), ["a", "b"])
-    stays = (F.col("doc_id") == F.col("best.least")) & (F.col("a") == F.col("best.a")) & (F.col("b") == F.col("best.b"))
-    lost = checkpointed(ruled.filter(~stays).select(F.col("doc_id").alias("__id"), F.col("a").alias("__x"), F.col("b").alias("__y")).distinct())
-    small = lost.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    here = keyed(docs, text)
-    gone = (F.col(id).cast("long") == F.col("__id")) & (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))
-    left = here.join(F.broadcast(lost) if small else lost, gone, "left_anti")
-    if not rows.groupBy("doc_id", "a", "b").count().filter("count > 1").isEmpty():
-        lone = left.filter(F.col(id).isNotNull()).dropDuplicates([id, "__a", "__b"])
-        left = lone.unionByName(left.filter(F.col(id).isNull()))
-    return left.select(*docs.columns)
+    # a row goes unless its group, key and id are the ones that stay; of those that stay several times one stays
+    ruled = rows.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(of.join(best, "component").select("a", "b", "best"), ["a", "b"])
+    stays = F.struct(F.col("doc_id").alias("least"), "a", "b") == F.col("best")
+    fate = checkpointed(ruled.select(F.col("doc_id").alias("of"), F.col("a").alias("key_a"), F.col("b").alias("key_b"), stays.alias("stays"), "n").filter("not stays or n > 1"))
+    small = fate.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def matched(df: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        same = (df["row"][id].cast("long") == side["of"]) & (df["key_a"] == side["key_a"]) & (df["key_b"] == side["key_b"])
+        return df.join(F.broadcast(side) if small else side, same, how)
+
+    left = matched(here, fate, "left_anti")
+    again = fate.filter("stays").select("of", "key_a", "key_b")
+    if not again.isEmpty():
+        several = matched(here, again, "left_semi")
+        left = left.unionByName(several.withColumn("of", F.col("row")[id]).dropDuplicates(["of", "key_a", "key_b"]).drop("of"))
+    return left.select("row.*")
 
 
 def hexadecimal(column: str):

@@ -107,11 +107,12 @@ def test_first_in_spark_agrees(spark):
     assert spark.range(1).select(F.xxhash64(F.lit(t)).alias("h")).first().h % 2**64 == simhash.fingerprint(t.encode())
 
 
-def jaccard(a, b):
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
 
+def jaccard(a, b):
     x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y)
 
@@ -162,46 +163,71 @@ def test_one_of_each_by_shuffles_and_empty(spark, monkeypatch):
     assert simhash.one_of_each(df.limit(0)).collect() == []
 
 
-def kept_and_wanted(spark, texts):
-    """The ids that stay, and those that do by brute force over all pairs."""
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= 0.8:
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
-    got = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
-    return sorted(r.doc_id for r in got.collect()), sorted(set(label))
+def copies_of_all_kinds():
+    """{kind: texts}, words of each kind apart from those of the others."""
+    r = random.Random(5)
+    kinds = {k: [] for k in ("replaced", "short", "ends", "clusters", "group")}
+    words = {k: [f"{k}{i}" for i in range(3000)] for k in kinds}
 
+    def replaced(kind, base, n):
+        w = list(base)
+        for at in r.sample(range(len(w)), n):
+            w[at] = r.choice(words[kind])
+        return " ".join(w)
 
-def test_copies_with_passages_appended_or_cut(spark):
-    r = random.Random(5)
-    words, texts = [f"word{i}" for i in range(3000)], []
     for g in range(60):
-        base = r.choices(words, k=r.randrange(100, 300))
+        base = r.choices(words["replaced"], k=r.randrange(80, 300))
+        kinds["replaced"] += [" ".join(base)] + [replaced("replaced", base, r.randrange(1, max(2, len(base) // 60))) for _ in range(3)]
+        base = r.choices(words["short"], k=r.randrange(25, 60))
+        kinds["short"] += [" ".join(base), " ".join(base[r.randrange(1, 3) :]), replaced("short", base[1:], 1), " ".join(base + r.choices(words["short"], k=3))]
+        base = r.choices(words["ends"], k=r.randrange(100, 300))
         n = len(base)
-        texts.append(" ".join(base))
-        texts.append(" ".join(base + r.choices(words, k=int(n * (0.15, 0.2, 0.23)[g % 3]))))
         cut = r.randrange(n // 6)
-        texts.append(" ".join(base[cut : n - (n // 6 - cut)]))
-    got, want = kept_and_wanted(spark, texts)
-    assert got == want and len(want) < 70
-
-
-def test_clusters_of_a_group_hold_together(spark):
-    """Texts whose likeliest partners are all of their own cluster."""
-    r = random.Random(6)
-    words, texts = [f"word{i}" for i in range(3000)], []
-    for _ in range(3):
-        base = r.choices(words, k=300)
+        kinds["ends"] += [" ".join(base), " ".join(base + r.choices(words["ends"], k=int(n * (0.15, 0.2, 0.23)[g % 3]))), " ".join(base[cut : n - (n // 6 - cut)])]
+    for _ in range(3):  # texts whose likeliest partners are all of their own cluster
+        base = r.choices(words["clusters"], k=300)
         for _ in range(6):
-            own = list(base)
-            for at in r.sample(range(0, 300, 10), 3):
-                own[at] = r.choice(words)
-            texts.append(" ".join(own))
-            for _ in range(5):
-                w = list(own)
-                w[r.randrange(300)] = r.choice(words)
-                texts.append(" ".join(w))
-    got, want = kept_and_wanted(spark, texts)
-    assert got == want == [0, 36, 72]
+            own = replaced("clusters", base, 3).split(" ")
+            kinds["clusters"] += [" ".join(own)] + [replaced("clusters", own, 1) for _ in range(5)]
+    base = r.choices(words["group"], k=120)
+    kinds["group"] = [replaced("group", base, r.randrange(0, 5)) for _ in range(150)]
+    return kinds
+
+
+def test_recall_over_all_pairs(spark, monkeypatch):
+    """Against brute force; buckets are cut into cells."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 100)
+    texts, want, of, n = [], set(), {}, 0
+    for kind, own in copies_of_all_kinds().items():
+        sets = [shingles(t) for t in own]
+        label, pairs = list(range(len(own))), 0
+        for i in range(len(own)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    pairs += 1
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+        want |= {len(texts) + x for x in label}
+        of |= {len(texts) + i: kind for i in range(len(own))}
+        texts += own
+        n += pairs
+        assert pairs >= 90
+    assert n > 500
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for kind in set(of.values()):
+        gone = {i for i, k in of.items() if k == kind} - want
+        assert len(gone - got) >= 0.99 * len(gone), kind
+    assert want <= got
+
+
+def test_copies_of_a_fingerprint():
+    """Shards that the ball around a random fingerprint reaches."""
+    r = np.random.default_rng(7)
+    f = r.integers(0, 2**63, (2, 200 * 256), dtype=np.int64).view(np.uint64) * np.uint64(2) + r.integers(0, 2, (2, 200 * 256)).astype(np.uint64)
+    tree = simhash.build(f[0], 256)
+    shards = sum(x[0] == "leaf" for x in tree)
+    at, shard, home = simhash.routed(f[1], tree, 3)
+    assert shards >= 150 and len(at) / f.shape[1] < 6 and home.sum() == f.shape[1]
+    assert np.bincount(shard[home], minlength=shards).max() < 8 * 256
