@@ -8,11 +8,53 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "importable", "release", "sliced", "table"]
+__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "release", "running", "sliced", "table"]
+
+
+#: Values that running() sums at once; the sums of such runs are summed after that.
+RUN = 128
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, also where lambdas use it again and again."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def running(values: Column) -> Column:
+    """For each of an array's ints the sum of those before it, as longs.
+
+    Runs of RUN values are summed apart and then set off against each other, so that long arrays take
+    little more than linear time.
+    """
+    zero = F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+
+    def laid(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda r: F.slice(v, r * RUN + 1, RUN))
+        return let(runs, lambda a: let(F.transform(a, total), lambda totals: placed(a, totals)))
+
+    def placed(a: Column, totals: Column) -> Column:
+        bases = F.transform(a, lambda _, r: total(F.slice(totals, F.lit(1), r)))
+        inner = lambda base, u: F.transform(u, lambda _, j: base + total(F.slice(u, F.lit(1), j)))
+        return F.flatten(F.zip_with(bases, a, inner))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, laid(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def importable(spark: SparkSession) -> None:

@@ -1,5 +1,7 @@
 import hashlib
 import itertools
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -37,3 +39,28 @@ def test_long_conversation_ties_nulls_and_other_columns(spark):
 
 def test_empty(spark):
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_ties_sort_by_the_text_itself(spark):
+    """Escapes change the order of these."""
+    texts = ["<|im_end|>", "<a", "[INST]x", "[A", "</s>", "<.", "<0"]
+    rows = [(1, 5, "user", t) for t in texts] + [(1, 5, "<|im_sep|>", "r"), (1, 5, "<a", "r")]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, SCHEMA))).first()
+    said = "".join(f"{r[2]}\n{r[3]}\n" for r in sorted(rows))
+    assert got.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_a_very_long_conversation(spark):
+    """Time grows with the number of turns, not with its square, in one block as in many."""
+    r = random.Random(2)
+    roles = lambda t: "assistant" if 30_000 < t < 60_000 or t % 2 else "user"
+    rows = [(1, t, roles(t), "".join(r.choices("ab é😀<[", k=100))) for t in range(100_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    df.count()
+    began = time.time()
+    got = chat.digests(chat.format_conversations(df)).first()
+    assert time.time() - began < 60
+    lost = "".join(x[3] for x in rows if x[2] == "assistant")
+    assert got.n_turns == 100_000 and got.loss_sha256 == hashlib.sha256(lost.encode()).hexdigest()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in rows).encode()).hexdigest()
+    df.unpersist()
