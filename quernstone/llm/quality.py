@@ -1,9 +1,11 @@
 """Quality classification by co-training.
 
-Two classifiers see a document apart: one its text, one its metadata. Over some rounds each
-labels the unlabelled documents that it is sure of for the other. Both are calibrated on labelled
-rows that neither learned from, the calibrated views are combined there, and every document is
-scored by the combination.
+Two classifiers see a document apart: one its text, one its metadata. In each round all unlabelled
+documents are passed over, and each classifier labels those that it is sure of for the other: tasks
+count the features of such documents by class, so that what is learned from them is not sampled. A
+view is a regression on labelled rows, over the features that tell the classes apart and over the mean
+log-odds of all features in the counts. Both views are calibrated on labelled rows that neither learned
+from, the calibrated views are combined there, and every document is scored by the combination.
 """
 
 from __future__ import annotations
@@ -17,14 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import sliced
-from quernstone.llm.features import meta_ids, text_ids
+from quernstone.llm.common import fresh, sliced
+from quernstone.llm.features import TEXT_IDS, WORDS, meta_ids, text_ids
 
-#: Labelled and unlabelled documents sampled to learn from, at most about.
-LABELLED_ROWS, UNLABELLED_ROWS = 10_000, 5_000
+#: Labelled documents to learn from, at most about, and labelled ids up to which they are broadcast.
+LABELLED_ROWS, BROADCAST_ROWS = 15_000, 1_000_000
 #: Features kept of a view; rounds; calibrated certainty for a pseudo-label and its weight; one in so many labelled rows calibrates.
-FEATURES, ROUNDS, SURE, PSEUDO_WEIGHT, CALIBRATES = 600, 3, 0.98, 0.5, 4
+FEATURES, ROUNDS, SURE, PSEUDO_WEIGHT, CALIBRATES = 600, 2, 0.98, 0.5, 4
+#: Rows of a regression summed at once, standard errors from which log-odds count, and what their mean is multiplied by.
+ROWS, TELLS, LEAN = 2048, 2.0, 10.0
 META = ("lang", "source", "n_chars")
+#: Numbers of features of a view.
+SIZES = {"text": TEXT_IDS, "meta": WORDS}
 
 
 def sigmoid(z):
@@ -38,13 +44,17 @@ def logit(p):
 
 def regress(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Logistic regression by Newton's method; the last coefficient is the free one."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    b, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    k = x.shape[1] + 1
+    b, penalty = np.zeros(k), np.full(k, ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        p = sigmoid(x @ b)
-        v = weight * np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * b)
+        square, slope = np.diag(penalty), -penalty * b
+        for lo in range(0, len(x), ROWS):
+            part = np.hstack([x[lo : lo + ROWS], np.ones((len(x[lo : lo + ROWS]), 1))])
+            p, w = sigmoid(part @ b), weight[lo : lo + ROWS]
+            square += (part * (w * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ part
+            slope += part.T @ (w * (y[lo : lo + ROWS] - p))
+        step = np.linalg.solve(square, slope)
         b += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
             break
@@ -73,22 +83,47 @@ class Sets:
         return out
 
 
+@dataclass
+class Counts:
+    """By class, good ones first: documents, and documents that have each feature."""
+
+    n: np.ndarray
+    features: np.ndarray
+
+    @classmethod
+    def none(cls, size: int) -> Counts:
+        return cls(np.zeros(2), np.zeros((2, size)))
+
+    @classmethod
+    def of(cls, sets: Sets, y: np.ndarray, size: int) -> Counts:
+        each = [np.bincount(sets.flat[np.repeat(y == c, sets.sizes)], minlength=size) for c in (0, 1)]
+        return cls(np.array([(y == c).sum() for c in (0, 1)], float), np.stack(each).astype(float))
+
+
 @dataclass
 class View:
-    """A linear classifier over some features, and its calibration."""
+    """A linear classifier over some features and the mean log-odds of all, and its calibration."""
 
     features: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    #: Of the features, of the mean log-odds, and the free one.
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
 
-    def margins(self, sets: Sets) -> np.ndarray:
-        """The sums of the weights of each row's features."""
-        if not len(self.features):
-            return np.full(len(sets.sizes), self.weights[-1])
-        at = np.minimum(np.searchsorted(self.features, sets.flat), len(self.features) - 1)
-        w = np.where(self.features[at] == sets.flat, self.weights[at], 0.0)
+    def lean(self, sets: Sets) -> np.ndarray:
+        """LEAN times the mean log-odds of each row's features."""
         row = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
-        return np.bincount(row, w, minlength=len(sets.sizes)) + self.weights[-1]
+        odds = self.odds[np.minimum(sets.flat, len(self.odds) - 1)]
+        return LEAN * np.bincount(row, odds, minlength=len(sets.sizes)) / np.maximum(1, sets.sizes)
+
+    def margins(self, sets: Sets) -> np.ndarray:
+        """The sums of the weights of each row's features, and what they lean to."""
+        out = self.weights[-2] * self.lean(sets) + self.weights[-1]
+        if len(self.features):
+            at = np.minimum(np.searchsorted(self.features, sets.flat), len(self.features) - 1)
+            w = np.where(self.features[at] == sets.flat, self.weights[at], 0.0)
+            out += np.bincount(np.repeat(np.arange(len(sets.sizes)), sets.sizes), w, minlength=len(sets.sizes))
+        return out
 
     def log_odds(self, sets: Sets) -> np.ndarray:
         return self.scale[0] * self.margins(sets) + self.scale[1]
@@ -99,12 +134,16 @@ class View:
             self.scale = np.array([max(0.0, a[0]), a[1]])
 
 
-def learn(sets: Sets, y: np.ndarray, weight: np.ndarray) -> View:
-    """Of the features whose odds surely differ between the classes the surest and the most telling, and a regression on those."""
-    bad, good = (np.bincount(sets.flat, np.repeat(weight * c, sets.sizes)) for c in (y, 1 - y))
+def learn(sets: Sets, y: np.ndarray, more: Counts) -> View:
+    """From labelled rows, and from counts of the documents that the other view is sure of.
+
+    Of the features whose odds surely differ between the classes in both together the surest and the most
+    telling have a weight of their own.
+    """
+    own = Counts.of(sets, y, more.features.shape[1])
+    (n_good, n_bad), (good, bad) = own.n + PSEUDO_WEIGHT * more.n + 1, own.features + PSEUDO_WEIGHT * more.features
     each = np.flatnonzero(bad + good)
     bad, good = bad[each] + 0.5, good[each] + 0.5
-    n_bad, n_good = (weight * y).sum() + 1, (weight * (1 - y)).sum() + 1
     odds = np.log(bad / n_bad) - np.log(good / n_good)
     z = np.abs(odds) / np.sqrt(1 / bad + 1 / good)
     sure = np.flatnonzero(z > 3)
@@ -112,7 +151,12 @@ def learn(sets: Sets, y: np.ndarray, weight: np.ndarray) -> View:
     rest = np.setdiff1d(sure, surest)
     telling = rest[np.argsort(-np.abs(odds[rest]), kind="stable")[: FEATURES // 2]]
     features = each[np.union1d(surest, telling)]
-    return View(features, regress(sets.dense(features), y, weight))
+    dense = np.zeros(more.features.shape[1], np.float32)
+    dense[each] = np.where(z > TELLS, odds, 0)
+    view = View(features, np.zeros(len(features) + 2), dense)
+    if len(y):
+        view.weights = regress(np.column_stack([sets.dense(features), view.lean(sets)]), y.astype(float), np.ones(len(y)))
+    return view
 
 
 @dataclass
@@ -128,77 +172,110 @@ class Model:
         return sigmoid(self.mixed[0] * a + self.mixed[1] * b + self.mixed[2]), sigmoid(a), sigmoid(b)
 
 
-def co_train(text: Sets, meta: Sets, label: np.ndarray, calibrates: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``label``: 1 bad, 0 good, -1 none. Views learn from labelled rows that do not calibrate, and from each other."""
+def co_train(text: Sets, meta: Sets, label: np.ndarray, calibrates: np.ndarray, gather, rounds: int = ROUNDS) -> Model:
+    """``label``: 1 bad, 0 good. Views learn from rows that do not calibrate, and from each other.
+
+    ``gather(model)`` gives, for the text and for the metadata, the Counts of the unlabelled documents that
+    the other view of ``model`` is sure of.
+    """
 
     def part(sets: Sets, mask: np.ndarray) -> Sets:
         return Sets(sets.flat[np.repeat(mask, sets.sizes)], sets.sizes[mask])
 
-    held, known = calibrates & (label >= 0), ~calibrates & (label >= 0)
-    views = {"text": text, "meta": meta}
-    given = {k: np.where(known, label, -1) for k in views}
-    models: dict[str, View] = {}
+    sets = {"text": text, "meta": meta}
+    given = {k: Counts.none(SIZES[k]) for k in sets}
+    y = label[calibrates].astype(float)
     for n in range(rounds + 1):
-        for k, sets in views.items():
-            use = given[k] >= 0
-            weight = np.where(known, 1.0, PSEUDO_WEIGHT)[use]
-            models[k] = learn(part(sets, use), given[k][use].astype(float), weight)
-            models[k].calibrate(part(sets, held), label[held].astype(float))
-        if n < rounds:
-            for k, other in (("text", "meta"), ("meta", "text")):
-                p = sigmoid(models[k].log_odds(views[k]))
-                sure = (label < 0) & ((p >= SURE) | (p <= 1 - SURE))
-                given[other] = np.where(known, label, np.where(sure, (p >= 0.5).astype(label.dtype), -1))
-    y = label[held].astype(float)
-    if not len(y):
-        return Model(models["text"], models["meta"], np.array([1.0, 0.0, 0.0]))
-    both = np.stack([models[k].log_odds(part(views[k], held)) for k in views], 1)
-    mixed = regress(both, y, np.ones(len(y)), ridge=0.1)
-    return Model(models["text"], models["meta"], np.array([max(0.0, mixed[0]), max(0.0, mixed[1]), mixed[2]]))
-
-
-def featured(docs: DataFrame, id: str, text: str, more: list[str]) -> DataFrame:
-    """``(id, text_ids, meta_ids)`` and what else is named."""
-    meta = [c for c in META if c in docs.columns]
+        views = {k: learn(part(s, ~calibrates), label[~calibrates], given[k]) for k, s in sets.items()}
+        for k, s in sets.items():
+            views[k].calibrate(part(s, calibrates), y)
+        model = Model(views["text"], views["meta"], np.array([1.0, 0.0, 0.0]))
+        if n < rounds and len(label):
+            given = dict(zip(sets, gather(model), strict=True))
+    if len(y):
+        both = np.stack([views[k].log_odds(part(s, calibrates)) for k, s in sets.items()], 1)
+        mixed = regress(both, y, np.ones(len(y)), ridge=0.1)
+        model.mixed = np.array([max(0.0, mixed[0]), max(0.0, mixed[1]), mixed[2]])
+    return model
+
+
+def sets_of(b: pa.RecordBatch, text: str, meta: list[str]) -> tuple[Sets, Sets]:
+    """The features of a batch's texts, as binary, and of its metadata."""
+    columns = {c: b.column(c).to_pylist() for c in meta}
+    t = [text_ids(x.as_py()) for x in b.column(text)]
+    m = [meta_ids({c: columns[c][i] for c in meta}) for i in range(b.num_rows)]
+    return tuple(Sets(np.concatenate(x) if x else np.empty(0, np.int64), np.array([len(y) for y in x], np.int64)) for x in (t, m))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            t, m = ids_of(b, "__text", meta)
-            yield pa.RecordBatch.from_arrays([b.column(id), *(b.column(c) for c in more), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], [id, *more, "text_ids", "meta_ids"])
 
-    cols = docs.select(id, *more, *meta, F.col(text).cast("binary").alias("__text"))
-    kept = T.StructType([docs.schema[c] for c in (id, *more)])
-    lists = T.ArrayType(T.IntegerType())
-    return cols.mapInArrow(run, kept.add("text_ids", lists).add("meta_ids", lists))
+def listed(sets: Sets) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sets.sizes)]), pa.int32()), pa.array(sets.flat.astype(np.int32)))
 
 
-def ids_of(b: pa.RecordBatch, text: str, meta: list[str]) -> tuple[list, list]:
-    columns = {c: b.column(c).to_pylist() for c in meta}
-    t = [text_ids(x.as_py()) for x in b.column(text)]
-    return t, [meta_ids({c: columns[c][i] for c in meta}) for i in range(b.num_rows)]
+def gathered(docs: DataFrame, model: Model, meta: list[str]) -> tuple[Counts, Counts]:
+    """For the text and for the metadata the Counts of ``docs (text, ...)`` that the other view is sure of.
+
+    Every document is passed over; a task returns a row for each feature that it counted.
+    """
+    sizes = list(SIZES.values())
+    width = max(sizes) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, size + 1), np.int64) for size in sizes]
+        for b in sliced(batches):
+            sets = sets_of(b, "text", meta)
+            _, *sides = model.bad(*sets)
+            for counts, own, other in zip(held, sets, sides[::-1], strict=True):
+                for c, sure in enumerate((other <= 1 - SURE, other >= SURE)):
+                    counts[c, :-1] += np.bincount(own.flat[np.repeat(sure, own.sizes)], minlength=counts.shape[1] - 1)
+                    counts[c, -1] += sure.sum()
+        for k, counts in enumerate(held):
+            c, at = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array((2 * k + c) * width + at), pa.array(counts[c, at])], ["k", "n"])
+
+    got = docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = np.asarray(got["k"]), np.asarray(got["n"])
+    out = []
+    for view, size in enumerate(sizes):
+        held = np.zeros((2, size + 1))
+        own = k // (2 * width) == view
+        held[k[own] // width % 2, k[own] % width] = n[own]
+        out.append(Counts(held[:, -1], held[:, :-1]))
+    return tuple(out)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """``(doc_id, bad)``: 1 where any row of a document says quality 0 or toxic 1; without either value there is no label."""
+    """``(id, bad)``: 1 where any row of a document says quality 0 or toxic 1; without either value there is no label."""
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
-    return labels.select("doc_id", bad.alias("__bad")).dropna().groupBy("doc_id").agg(F.max("__bad").alias("__bad"))
+    return labels.select(F.col("doc_id").alias("id"), bad.alias("bad")).dropna().groupBy("id").agg(F.max("bad").alias("bad"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
-    """Co-trains on samples of the labelled and of the other documents by a hash of the id: all of them if they are fewer."""
-    docs = docs.filter(F.col(id).isNotNull())
-    known = labelled(labels).withColumnRenamed("doc_id", "__doc")
-    per_million = lambda rows, n: int(1_000_000 * min(1.0, rows / max(1, n))) + 1
-    some, more = per_million(labelled_rows, known.count()), per_million(unlabelled_rows, docs.count())
-    drawn = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000))
+def drawn_for_calibration(id: str) -> Column:
+    return F.pmod(F.xxhash64(id, F.lit("calibrates")), F.lit(CALIBRATES)) == 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> Model:
+    """Co-trains on the labelled documents, of more than ``labelled_rows`` a sample by a hash of the id, and on all others.
+
+    Repeated rows count as often as they occur. Rows with a null id are unlabelled.
+    """
+    known = labelled(labels)
+    n = known.count()
     meta = [c for c in META if c in docs.columns]
-    own = docs.filter(drawn(id) < max(some, more)).select(F.col(id).alias("doc_id"), F.col(text).alias("text"), *meta)
-    sample = own.join(known.filter(drawn("__doc") < max(some, more)), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    sample = sample.filter(F.when(F.col("__bad").isNotNull(), drawn("doc_id") < some).otherwise(drawn("doc_id") < more))
-    got = featured(sample, "doc_id", "text", ["__bad"]).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(CALIBRATES))).toArrow()
-    got = got.sort_by("doc_id")  # sums of doubles come out the same each time
-    label = np.array([-1 if x is None else x for x in got["__bad"].to_pylist()], np.int64)
-    return co_train(Sets.of(got["text_ids"]), Sets.of(got["meta_ids"]), label, np.asarray(got["h"]) == 0)
+    own = docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"), *meta)
+    small = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, labelled_rows / max(1, n))) + 1
+    sample = own.filter(drawn).join(small(known.filter(drawn)), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("bad"), *map(listed, sets_of(b, "text", meta))], ["id", "bad", "text_ids", "meta_ids"])
+
+    lists = T.ArrayType(T.IntegerType())
+    got = sample.mapInArrow(run, T.StructType([sample.schema["id"], sample.schema["bad"]]).add("text_ids", lists).add("meta_ids", lists))
+    got = got.withColumn("calibrates", drawn_for_calibration("id")).toArrow()
+    got = got.sort_by("id")  # sums of doubles come out the same each time
+    others = own.join(small(known.select("id")), "id", "left_anti")
+    return co_train(Sets.of(got["text_ids"]), Sets.of(got["meta_ids"]), np.asarray(got["bad"]).astype(np.int64), np.asarray(got["calibrates"]).astype(bool), lambda model: gathered(others, model, meta), rounds)
 
 
 #: The columns that documents get.
@@ -212,35 +289,36 @@ def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, s
     """
     docs = docs.drop(*names)
     meta = [c for c in META if c in docs.columns]
-    kept = docs.columns
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            t, m = ids_of(b, "__text", meta)
-            sets = [Sets(np.concatenate(x) if x else np.empty(0, np.int64), np.array([len(y) for y in x], np.int64)) for x in (t, m)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(1 - p) for p in model.bad(*sets))], [*kept, *names])
+            row = b.column(0)
+            seen = pa.RecordBatch.from_arrays([row.field(text).cast(pa.binary()), *(row.field(c) for c in meta)], ["text", *meta])
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(1 - p) for p in model.bad(*sets_of(seen, "text", meta)))], ["row", "both", "of_text", "of_meta"])
 
-    schema = T.StructType(list(docs.schema.fields))
-    for c in names:
-        schema = schema.add(c, "double")
-    return docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["row"]]).add("both", "double").add("of_text", "double").add("of_meta", "double")
+    got = rows.mapInArrow(run, schema)
+    return got.select("row.*", *(F.col(c).alias(name) for c, name in zip(("both", "of_text", "of_meta"), names, strict=True)))
 
 
 def judged(docs: DataFrame, labels: DataFrame, least: float = 0.5, names: tuple[str, str, str] = ADDED, keep: str = "keep") -> DataFrame:
     """score()'s rows with ``keep``: whether the document is good with a probability of ``least`` or more.
 
-    With no labelled row every document scores alike and is kept.
+    With no labelled row every document scores alike and is kept. Repeated rows each come back, scored
+    alike; an empty table gives no rows. Columns of the four names are replaced.
     """
     model = fit(docs, labels)
-    scored = score(docs, model, names=names)
-    if not len(model.text.features) and not len(model.meta.features):
+    scored = score(docs.drop(keep), model, names=names)
+    if not model.text.odds.any() and not model.meta.odds.any():
         return scored.withColumn(keep, F.lit(True))
     return scored.withColumn(keep, F.col(names[0]) >= least)
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, as they were."""
-    return judged(docs, labels, names=("__both", "__of_text", "__of_meta"), keep="__keep").filter("__keep").select(*docs.columns)
+    *names, keep = fresh(docs.columns, "both", "of_text", "of_meta", "keep")
+    return judged(docs, labels, names=tuple(names), keep=keep).filter(keep).drop(*names, keep)
 
 
 def columns(scored: DataFrame) -> list[Column]:
