@@ -16,8 +16,10 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A set of strings larger than this is no longer carried along as exact strings.
-MOST_STRINGS = 64
+from quernstone.llm.common import checkpointed, fresh, let, running
+
+#: Candidates up to which they are broadcast, counted; a shuffle joins more. A set of strings larger than this is no longer carried along as exact strings.
+BROADCAST_ROWS, MOST_STRINGS = 200_000, 64
 
 
 @dataclass(frozen=True)
@@ -198,17 +200,16 @@ def matches(text: Column, rule: Rule) -> Column:
         pattern, least = f"{pattern[:-1]}{{{least - fixed},}}", 1
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    between = F.split(text, pattern, -1)
-    sized = F.transform(whole, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("n"), F.length(F.get(judged, i)).alias("judged")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("out"))
+    found = F.struct(whole.alias("m"), judged.alias("j"), F.split(text, pattern, -1).alias("g"))
+    size = lambda f, m, i: F.struct(F.length(F.get(f["g"], i)).alias("gap"), F.length(m).alias("n"), F.length(F.get(f["j"], i)).alias("judged"))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        span = F.struct(start.alias("start"), F.lit(rule.kind).alias("kind"), (start + m["n"]).alias("end"))
-        return F.struct((start + m["n"]).alias("at"), F.when(m["judged"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(sizes: Column) -> Column:
+        before = running(F.transform(sizes, lambda t: t["gap"] + t["n"]))
+        each = F.zip_with(sizes, before, lambda t, at: F.struct((at + t["gap"]).cast("int").alias("at"), t["n"].alias("n"), t["judged"].alias("judged")))
+        return F.transform(F.filter(each, lambda t: t["judged"] >= least), lambda t: F.struct(t["at"].alias("start"), F.lit(rule.kind).alias("kind"), (t["at"] + t["n"]).alias("end")))
 
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(sized, zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), let(found, lambda f: let(F.transform(f["m"], lambda m, i: size(f, m, i)), placed))).otherwise(none)
 
 
 def strings_head(pattern: str) -> str:
@@ -222,17 +223,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", t
 
     The index names each rule's candidates; the others get no span of that rule without a scan.
     A null text is an empty one; rows with a null id are candidates of every rule. Repeated ids
-    share candidates, each row is verified on its own text. A column of that name is replaced.
+    share candidates, each row is verified on its own text. Empty tables give no rows. A column named
+    ``into`` is replaced; other columns come back as they were, whatever their names. Texts are only
+    shuffled where more than BROADCAST_ROWS documents are candidates.
     """
-    postings = index(docs, rules, id, text)
-    named = candidates(postings, rules).select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
-    joined = docs.drop(into).join(named, F.col(id) == F.col("__id"), "left")
+    docs = docs.drop(into)
+    of_id, kinds = fresh([*docs.columns, into], "id", "kinds")
+    named = checkpointed(candidates(index(docs, rules, id, text), rules)).toDF(of_id, kinds)
+    small = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = docs.join(F.broadcast(named) if small else named, F.col(id) == F.col(of_id), "left")
     empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     found, whole = [], F.coalesce(F.col(text), F.lit(""))
     for r in rules:
         got = matches(whole, r)
         if trigram_query(r.pattern) is not True:
-            got = F.when(F.col(id).isNull() | F.coalesce(F.array_contains("__kinds", r.kind), F.lit(False)), got).otherwise(empty)
+            got = F.when(F.col(id).isNull() | F.coalesce(F.array_contains(kinds, r.kind), F.lit(False)), got).otherwise(empty)
         found.append(got)
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
 
@@ -240,7 +245,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", t
         ka, kb = rank[a["kind"]], rank[b["kind"]]
         return F.when(a["start"] != b["start"], a["start"] - b["start"]).when(ka != kb, ka - kb).otherwise(a["end"] - b["end"])
 
-    return joined.withColumn(into, F.array_sort(F.concat(*found), order)).drop("__id", "__kinds")
+    return joined.withColumn(into, F.array_sort(F.concat(*found), order)).drop(of_id, kinds)
 
 
 def shown(spans: Column) -> Column:
