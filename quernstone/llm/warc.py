@@ -2,15 +2,17 @@
 
 Archives are capture runs: each file's records are sorted by URL key, time and page. The index of
 what is read back keeps that order per run; the runs' slices of each range of keys are merged by
-a loser tree, so that all ranges together are one globally ordered capture history.
+a loser tree, so that all ranges together are one globally ordered capture history. Archives are
+bounded by bytes and ranges by rows, so that no task holds more, however large the table is. Each
+record is a gzip member of its own, found at the offset that the index has.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
@@ -18,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import ensure_checkpoint_dir
+from quernstone.llm.common import checkpointed, ensure_checkpoint_dir, sliced
 
-#: What ends each record, and the payload bytes that an archive is aimed at.
-END, ARCHIVE_BYTES = "\r\n\r\n", 16 << 20
+#: What ends each record; the bytes of records from which the next ones go to another archive; index rows to a range of keys;
+#: payloads that occur several times up to which they are broadcast.
+END, ARCHIVE_BYTES, RANGE_ROWS, BROADCAST_ROWS = "\r\n\r\n", 16 << 20, 100_000, 200_000
+#: An empty gzip member: what stands between the members of an archive, one for each record.
+BETWEEN = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 INDEX = "url_key string, captured long, page_id long, run string, at long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -93,11 +98,38 @@ def records_of(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = head + 4 + size + len(END)
 
 
+def member(record: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
+
+
+def members(archive: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member that is not empty."""
+    at, view = 0, memoryview(archive)
+    while at < len(archive):
+        z, out, lo = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if at >= len(archive):
+                raise ValueError("an archive ends within a record")
+            part = view[at : at + (1 << 16)]
+            out.append(z.decompress(part))
+            at += len(part)
+        at -= len(z.unused_data)
+        if content := b"".join(out):
+            yield lo, content
+
+
 def resolved(pages: DataFrame, least: int) -> DataFrame:
-    """``pages`` with ``refers_to``: the largest page_id with the same payload where that is another, else null."""
-    keyed = pages.withColumn("payload_key", F.sha2("payload", 256))
-    last = keyed.filter(F.octet_length("payload") >= least).groupBy("payload_key").agg(F.max("page_id").alias("last"))
-    joined = keyed.join(last, "payload_key", "left")
+    """``pages`` with ``refers_to``: the largest page_id with the same payload where that is another, else null.
+
+    Only the digests of payloads that occur several times are joined, so payloads stay where they are
+    unless there are more than BROADCAST_ROWS of those.
+    """
+    keyed = pages.withColumn("payload_key", F.unhex(F.sha2("payload", 256)))
+    held = keyed.filter(F.octet_length("payload") >= least).groupBy("payload_key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    last = checkpointed(held.filter("n > 1 and last is not null").select("payload_key", "last"))
+    small = last.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = keyed.join(F.broadcast(last) if small else last, "payload_key", "left")
     return joined.select("page_id", "url", "payload", "captured", F.when(F.col("last") != F.coalesce("page_id", F.col("last") - 1), F.col("last")).alias("refers_to"))
 
 
@@ -107,36 +139,53 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str
     Of rows with equal payloads of at least ``least`` bytes those with the largest page_id are responses,
     the others revisit it; smaller payloads are all responses. A null html is empty, a null url too, a row
     with a null page_id revisits an equal page that has one. captured: seconds since 1970, null is 0.
+    A task's rows go to archives of about ARCHIVE_BYTES, or of one record if that is larger, each sorted.
     Spark's own writer stores the files, so any file system will do and a lost task is written again.
+    Repeated rows of a page have records of one id. An empty table gives no archives. ``compression``:
+    gzip, a member for each record, or none.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload, F.coalesce(F.col("captured").cast("long"), F.lit(0)).alias("captured"))
-    mean = pages.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    packed = compression == "gzip"
+    if compression not in ("gzip", "none"):
+        raise ValueError("compression is gzip or none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        number = held = 0
+        for b in sliced(batches):
             page, url, payload, captured, refers = (b.column(i) for i in range(5))
             keys = [url_key(target(u.as_py())) for u in url]
-            made = [record(i.as_py(), u.as_py(), p.as_py(), c.as_py(), r.as_py()) for i, u, p, c, r in zip(page, url, payload, captured, refers, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), captured, page, pa.array(made, pa.binary())], ["url_key", "captured", "page_id", "value"])
-
-    made = resolved(pages, least).mapInArrow(run, "url_key string, captured long, page_id long, value binary")
-    made = made.sortWithinPartitions("url_key", "captured", "page_id")
-    writer = made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END)
-    writer = writer.option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / max(mean, 1024)))).option("compression", compression)
-    writer.mode("errorifexists").text(path)
+            made, runs = [], []
+            for i, u, p, c, r in zip(page, url, payload, captured, refers, strict=True):
+                made.append(record(i.as_py(), u.as_py(), p.as_py(), c.as_py(), r.as_py()))
+                if held and held + len(made[-1]) > ARCHIVE_BYTES:
+                    number, held = number + 1, 0
+                held += len(made[-1])
+                runs.append(number)
+                if packed:
+                    made[-1] = member(made[-1] + END.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array(keys, pa.string()), captured, page, pa.array(made, pa.binary())], ["run", "url_key", "captured", "page_id", "value"])
+
+    made = resolved(pages, least).mapInArrow(run, "run int, url_key string, captured long, page_id long, value binary")
+    made = made.sortWithinPartitions("run", "url_key", "captured", "page_id").select("run", F.col("value").cast("string").alias("value"))
+    between = {"lineSep": BETWEEN.decode("latin-1"), "encoding": "ISO-8859-1"} if packed else {"lineSep": END}
+    made.write.partitionBy("run").options(**between).mode("errorifexists").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The index of all records: INDEX. A response's payload is measured and digested anew, a revisit says what it had."""
+    """The index of all records: INDEX; ``at``: where the record, or its gzip member, starts in the file ``run``.
+
+    A response's payload is measured and digested anew, a revisit says what it had. No files give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 rows = []
                 archive = content.as_py()
-                archive = gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
-                for at, h, block in records_of(archive):
+                packed = archive[:2] == b"\x1f\x8b"
+                each = ((at, h, block) for at, one in members(archive) for _, h, block in records_of(one)) if packed else records_of(archive)
+                for at, h, block in each:
                     http, _, payload = block.partition(b"\r\n\r\n")
                     page = lambda x: int(x.removeprefix("<urn:page:")[:-1]) if x and len(x) > len("<urn:page:>") else None
                     kind, stated = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
@@ -146,7 +195,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((url_key(h["warc-target-uri"]), seconds(h["warc-date"]), page(h["warc-record-id"]), name.as_py(), at, kind, size, stated, page(h.get("warc-refers-to"))))
                 yield pa.RecordBatch.from_pydict(dict(zip(SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in SCHEMA.names}, SCHEMA)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, INDEX)
 
 
@@ -206,9 +255,13 @@ class LoserTree:
 def histories(index: DataFrame) -> DataFrame:
     """The index in global order of url_key, captured and page_id: partition after partition, row after row.
 
-    Ranges of those three, so that a frequent URL is split too, each get their slices of all runs.
+    Ranges of those three, and of the place in the archives among ties, hold about RANGE_ROWS each, so that
+    a frequent URL is split too; each range gets its slices of all runs. Ties of all three stay in
+    the order of their runs' names and places. An empty index gives no rows.
     """
-    ranged = index.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("run", "at")
+    index = checkpointed(index)
+    ranges = max(1, -(-index.count() // RANGE_ROWS))
+    ranged = index.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "at").sortWithinPartitions("run", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), SCHEMA) if (batches := list(batches)) else SCHEMA.empty_table()

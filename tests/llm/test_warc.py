@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -25,8 +26,14 @@ def run(spark, tmp_path, data, **options):
 
 def test_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 17)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 90)
     data = rows()
     got = run(spark, tmp_path, data).collect()
+    for r in got[::7]:  # a record is found at its offset
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.at)
+            one = next(warc.records_of(zlib.decompressobj(31).decompress(f.read())))
+        assert warc.url_key(one[1]["warc-target-uri"]) == r.url_key and one[1]["warc-type"] == r.record_type
     assert len({r.run for r in got}) > 3
     last = {}
     for i, _, html, _ in data:
@@ -48,7 +55,7 @@ def test_least_and_plain_files(spark, tmp_path):
     data = [(1, "u", "ab", 0), (2, "u", "ab", 0), (3, "u", "abc", 0), (4, "u", "abc", 0)]
     got = {r.page_id: r.refers_to for r in run(spark, tmp_path, data, least=3, compression="none").collect()}
     assert got == {1: None, 2: None, 3: 4, 4: None}
-    raw = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("*/part-*"))
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and raw.count(b"WARC-Type: revisit") == 1
 
 
@@ -68,3 +75,13 @@ def test_dates():
         assert warc.seconds(warc.stamp(s)) == s
     assert warc.stamp(951_782_400) == "2000-02-29T00:00:00Z"
     assert warc.url_key("http://www.Example.com/A/?b=C") == "com,example)/a?b=c"
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Large pages in a row, joined by a shuffle."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    data = [(i, "u", "x" * 8000 + str(i // 2) if i > 500 else "y", i) for i in range(560)]
+    got = run(spark, tmp_path, data, compression="none").collect()
+    assert all(p.stat().st_size < 22_000 for p in (tmp_path / "w").glob("*/part-*"))
+    assert [r.captured for r in got] == list(range(560)) and sum(r.refers_to is None for r in got) == 1 + 30
