@@ -5,19 +5,24 @@ meets one of them with a positive contribution, bounded by the largest value in
 vectors, and takes the other off exactly. Terms are split by those bounds: the non-essential
 ones are those whose bounds together cannot lift a vector past the k-th best score so far.
 Essential postings are traversed; only vectors whose partial score can still compete are probed
-in the others, largest bounds first. Shards are searched apart and their best are merged.
+in the others, largest bounds first. Shards are searched apart and their best are merged. Vectors
+stay in their shard; queries are sent to each. One shard is searched first: the k-th best score
+that a query has there is where it starts in the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Components to a shard, queries to a block of them, vectors to a block of bounds, terms probed at once.
-SHARD_CELLS, QUERY_ROWS, BLOCK_ROWS, PROBED = 1 << 20, 1024, 2048, 8
+from quernstone.llm.common import checkpointed, sliced
+
+#: Components to a shard, queries read at once, vectors to a block of bounds, terms probed at once.
+SHARD_CELLS, QUERY_ROWS, BLOCK_ROWS, PROBED = 1 << 21, 1024, 2048, 8
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -44,10 +49,11 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, bounds: list) -> tuple[np.ndarray, np.ndarray]:
+def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, bounds: list, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` highest (ids, scores) of the columns of ``x`` for one query, ties to smaller ids.
 
-    ``bounds`` has the largest and the negated smallest value of each term for each block.
+    ``bounds`` has the largest and the negated smallest value of each term for each block. What scores
+    under ``floor`` may be missing: k better ones are known.
     """
     top_ids, top = np.empty(0, np.int64), np.empty(0, x.dtype)
     for lo, (high, low) in zip(range(0, len(ids), BLOCK_ROWS), bounds, strict=True):
@@ -55,13 +61,14 @@ def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, b
         bound = np.where(q > 0, q * high, -q * low)
         order = np.argsort(bound, kind="stable")
         below = np.cumsum(bound[order])
-        full = len(top) == k
+        bar = floor if len(top) < k else top[-1] if floor is None else max(floor, top[-1])
+        full = bar is not None
         # non-essential: all of them together stay under the k-th best
-        cut = int(np.searchsorted(below, top[-1], side="left")) if full else 0
+        cut = int(np.searchsorted(below, bar, side="left")) if full else 0
         rest = below[cut - 1] if cut else 0
         essential = order[cut:]
         score = q[essential] @ block[essential] if len(essential) else np.zeros(block.shape[1], x.dtype)
-        alive = np.flatnonzero((own != query_id) & (score + rest >= top[-1])) if full else np.flatnonzero(own != query_id)
+        alive = np.flatnonzero((own != query_id) & (score + rest >= bar)) if full else np.flatnonzero(own != query_id)
         score = score[alive]
         while cut and len(alive):
             probed = order[max(0, cut - PROBED) : cut]
@@ -69,7 +76,7 @@ def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, b
             score = score + q[probed] @ block[np.ix_(probed, alive)]
             rest = below[cut - 1] if cut else 0
             if full:
-                keep = score + rest >= top[-1]
+                keep = score + rest >= bar
                 alive, score = alive[keep], score[keep]
         top_ids, top = np.concatenate([top_ids, own[alive]]), np.concatenate([top, score])
         if len(top) > k:
@@ -81,30 +88,69 @@ def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, b
     return top_ids, top
 
 
-def searcher(k: int):
-    """The search of one block of queries in one shard."""
+def joined(batches: list[pa.RecordBatch], column: str) -> pa.ChunkedArray:
+    return pa.chunked_array([b.column(column) for b in batches])
 
-    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if vectors.num_rows and queries.num_rows:
-            width = max(int(np.max(np.asarray(pc.list_value_length(t["v"])), initial=0)) for t in (vectors, queries))
-            ids, x = np.asarray(vectors["vec_id"]), matrix(vectors["v"], width)
-            query_ids, qs = np.asarray(queries["vec_id"]), matrix(queries["v"], width)
-            largest = max(1, int(np.abs(x).max(initial=0))) * max(1, int(np.abs(qs).max(initial=0))) * max(1, width)
-            # doubles add up integers exactly to 2^53; beyond that Python's own integers do
-            kind = np.float64 if largest < 2**53 else object
-            x, qs = x.astype(kind), qs.astype(kind)
-            starts = range(0, len(ids), BLOCK_ROWS)
-            zero = x.dtype.type(0) if kind is np.float64 else 0
+
+class Shard:
+    """Vectors of one shard, as postings by term in blocks."""
+
+    def __init__(self, batches: list[pa.RecordBatch], width: int):
+        self.ids = np.concatenate([np.asarray(b.column("vec_id")) for b in batches])
+        self.x = matrix(joined(batches, "v"), width)
+        self.width, self.largest = width, int(np.abs(self.x).max(initial=0))
+        self.made: dict[type, tuple] = {}
+
+    def of(self, kind: type) -> tuple[np.ndarray, list]:
+        if kind not in self.made:
+            x, zero = self.x.astype(kind), 0 if kind is object else kind(0)
+            starts = range(0, len(self.ids), BLOCK_ROWS)
             bounds = [(np.maximum(x[:, lo : lo + BLOCK_ROWS].max(1), zero), np.maximum(-x[:, lo : lo + BLOCK_ROWS].min(1), zero)) for lo in starts]
-            for i, query_id in enumerate(query_ids):
-                found, scores = best(ids, x, query_id, qs[:, i], k, bounds)
-                out["query_id"] += [int(query_id)] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
-        return pa.table(out, pa.schema([(c, pa.int64()) for c in out]))
+            self.made = {kind: (x, bounds)}
+        return self.made[kind]
 
-    return search
+    def search(self, b: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of a block of queries."""
+        out = {"query_id": [], "vec_id": [], "score": []}
+        qs = matrix(joined([b], "v"), self.width)
+        # doubles add up integers exactly to 2^53; beyond that Python's own integers do
+        kind = np.float64 if max(1, self.largest) * max(1, int(np.abs(qs).max(initial=0))) * max(1, self.width) < 2**53 else object
+        x, bounds = self.of(kind)
+        qs = qs.astype(kind)
+        for i, (query_id, floor) in enumerate(zip(b.column("vec_id").to_pylist(), b.column("floor").to_pylist(), strict=True)):
+            found, scores = best(self.ids, x, query_id, qs[:, i], k, bounds, floor)
+            out["query_id"] += [query_id] * len(found)
+            out["vec_id"] += found.tolist()
+            out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
+        return pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
+
+
+def searched(vectors: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best of each of the ``queries (shard, vec_id, v, floor)`` in the shard of ``vectors (shard, vec_id, v)``.
+
+    A task has the rows of a shard together, vectors first: it holds those, and reads queries in blocks.
+    """
+    none = F.lit(None).cast("long").alias("floor")
+    both = vectors.select("shard", F.lit(0).alias("kind"), "vec_id", "v", none).unionByName(queries.select("shard", F.lit(1).alias("kind"), "vec_id", "v", "floor"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, shard = [], None, None
+        for b in sliced(batches, QUERY_ROWS):
+            key = np.asarray(b.column("shard")) * 2 + np.asarray(b.column("kind"))
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if key[lo] // 2 != at:
+                    held, at, shard = [], key[lo] // 2, None
+                part = b.slice(lo, hi - lo)
+                if key[lo] % 2 == 0:
+                    held.append(part)
+                elif held:
+                    shard = shard or Shard(held, width)
+                    yield shard.search(part, k)
+
+    return both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, FOUND)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -114,17 +160,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     fewer candidates give fewer rows. Of vectors of different lengths the shorter one counts as
     filled up with zeros. Scores beyond 64 bits stop there. Empty inputs give no rows.
 
-    Blocks of queries meet shards of vectors in a grid of bounded cells, each searched by one
-    task; at most k rows of each query leave a cell.
+    A vector is sent once, to its shard of about SHARD_CELLS components; a query to each shard.
     """
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    width = max(width, queries.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
     shards = max(1, -(-n * max(1, width) // SHARD_CELLS))
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    of = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = vectors.select(of(shards, 1).alias("shard"), every(blocks).alias("block"), "vec_id", "v")
-    right = queries.select(every(shards).alias("shard"), of(blocks, 2).alias("block"), "vec_id", "v")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(searcher(k), FOUND)
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("long").alias("shard"), "vec_id", "v")
+    none = F.lit(None).cast("long").alias("floor")
+    found = searched(dealt.filter("shard = 0"), queries.select(F.lit(0).cast("long").alias("shard"), "vec_id", "v", none), k, width)
+    if shards > 1:
+        found = checkpointed(found)
+        floors = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        floors = floors.select(F.col("query_id").alias("vec_id"), F.when((F.col("n") >= k) & (F.col("least") > -(2**63)), F.col("least")).alias("floor"))
+        every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
+        others = queries.join(floors, "vec_id", "left").select(every, "vec_id", "v", "floor")
+        found = found.unionByName(searched(dealt.filter("shard > 0"), others, k, width))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
