@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "release", "running", "sliced", "table"]
+__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "release", "running", "sliced", "stratified", "table"]
 
 
 #: Values that running() sums at once; the sums of such runs are summed after that.
@@ -46,6 +46,20 @@ def running(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, laid(v)).otherwise(F.array().cast("array<bigint>")))
 
 
+def stratified(df: DataFrame, column: str, id: str, rows: int, least: int, salt: str) -> tuple[DataFrame, dict]:
+    """About ``rows`` of the rows by a hash of the id, about ``least`` of each value of the column if they are fewer; and each value's count.
+
+    All rows of a value that has fewer; all of them if the table has no more than ``rows``. Values of the
+    column are classes, few enough for the driver.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(column).collect()}
+    total = sum(counts.values())
+    if total <= rows:
+        return df, counts
+    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, max(rows / total, least / n))) + 1)])
+    return df.filter(F.pmod(F.xxhash64(id, F.lit(salt)), F.lit(1_000_000)) < most[F.col(column)]), counts
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be none of the columns."""
     taken, out = {c.lower() for c in columns}, []

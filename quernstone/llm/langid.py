@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows to learn from, at most about; n-grams kept of each language; share of the leading
+from quernstone.llm.common import checkpointed, stratified
+
+#: Labelled rows to learn from, at most about, but about LEAST_ROWS of each language if it has them; n-grams kept of each language; share of the leading
 #: language's frequency from which a language contains an n-gram; slots per n-gram; code points handled at once.
-SAMPLE_ROWS, GRAMS, SHARE, SLOTS, CHUNK = 20_000, 20_000, 0.2, 16, 1 << 20
+SAMPLE_ROWS, LEAST_ROWS, GRAMS, SHARE, SLOTS, CHUNK = 20_000, 500, 20_000, 0.2, 16, 1 << 20
+#: Parts of a language's n-grams that are ranked apart first.
+PARTS = 16
 UNKNOWN = "und"
 HASHES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -74,7 +78,12 @@ class Model:
 
     def slots(self, g: np.ndarray) -> list[np.ndarray]:
         size = np.uint64(len(self.masks) - 1)
-        return [((g * h) >> np.uint64(29)) & size for h in HASHES]
+        out = []
+        for h in HASHES:
+            x = (g ^ (g >> np.uint64(31))) * h
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)  # all three letters count in the bits taken
+            out.append((x >> np.uint64(32)) & size)
+        return out
 
     def containing(self, g: np.ndarray) -> np.ndarray:
         a, b = self.slots(g)
@@ -120,19 +129,19 @@ def counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, id: str = "doc_id", lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS, most: int = GRAMS) -> Model:
-    """Learns from rows with a language and a text; of more than ``sample_rows`` a sample by a hash of the id.
+def learned(labelled: DataFrame, id: str = "doc_id", lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS, most: int = GRAMS) -> tuple[tuple[str, ...], np.ndarray, np.ndarray]:
+    """The languages, and n-grams and the language that contains each, as its place.
 
-    Each language gives its ``most`` most frequent n-grams to the driver; a language contains
+    Of rows with a language and a text, of more than ``sample_rows`` a sample by a hash of the id. Each
+    language gives its ``most`` most frequent n-grams to the driver; a language contains
     those whose frequency in it is at least SHARE of that in the language where it is highest.
+    Repeated rows count as often as they occur; no rows teach no language.
     """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = labelled.count()
-    if n > sample_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n) + 1)
-    found = counts(labelled, lang, text)
-    by = Window.partitionBy("lang")
-    top = found.withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= most)
+    labelled, _ = stratified(labelled, lang, id, sample_rows, LEAST_ROWS, "langid")
+    found = checkpointed(counts(labelled, lang, text))
+    best = lambda df, by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= most).drop("k")
+    top = best(best(found.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))), ["lang", "part"]), ["lang"])
     totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rows = top.select("lang", "gram", "n").toArrow()
     langs = tuple(sorted(totals))
@@ -144,13 +153,18 @@ def fit(labelled: DataFrame, id: str = "doc_id", lang: str = "lang", text: str =
     highest = np.zeros(len(each))
     np.maximum.at(highest, back, rate)
     kept = rate >= SHARE * highest[back]
-    return filled(langs, gram[kept], of[kept])
+    return langs, gram[kept], of[kept]
+
+
+def fit(labelled: DataFrame, id: str = "doc_id", lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS, most: int = GRAMS) -> Model:
+    """The filter over what learned() gives."""
+    return filled(*learned(labelled, id, lang, text, sample_rows, most))
 
 
 def filled(langs: tuple[str, ...], gram: np.ndarray, of: np.ndarray) -> Model:
     """The filter over (n-gram, language) pairs."""
     per_lang = np.bincount(of, minlength=max(1, len(langs)))
-    size = 1 << max(10, int(per_lang.max() * SLOTS - 1).bit_length())
+    size = 1 << max(16, int(per_lang.max() * SLOTS - 1).bit_length())
     masks = np.zeros((size, max(1, -(-len(langs) // 64))), np.uint64)
     empty = Model(langs, masks, np.zeros(len(langs)))
     for slot in empty.slots(gram):
@@ -163,7 +177,8 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
     """``(doc_id, lang_pred, score)`` of every row, from its whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or no language was learned. Ties go to the
-    language first by name. The filter, of a size bounded by GRAMS, goes to every task.
+    language first by name. The filter, of a size bounded by GRAMS, goes to every task. Repeated rows each
+    come back, an empty table gives no rows, other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +200,9 @@ def held_out(id: str = "doc_id"):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)``; learned from rows with an id that are not held out."""
+    """``(doc_id, held_out, lang_pred, score)``; learned from rows with an id that are not held out.
+
+    Every row comes back, repeated ones and those with a null id too; an empty table gives no rows.
+    """
     model = fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -61,3 +61,29 @@ def test_chunks_agree(monkeypatch, spark):
     texts = [r.text.encode() for r in df.collect()]
     one = [m.predict([t]) for t in texts]
     assert [(r.lang_pred, r.score) for r in whole] == [(x[0][0], x[1][0]) for x in one]
+
+
+def test_against_plain_sets(spark):
+    """The prediction of the filter beside that of Python's sets, repeated rows among the texts."""
+    rows = list(docs(500))
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, SCHEMA)
+    langs, gram, of = langid.learned(df.filter("doc_id % 2 = 0"))
+    held = {name: set() for name in langs}
+    for g, k in zip(gram.tolist(), of.tolist(), strict=True):
+        held[langs[k]].add(g)
+    got = langid.predict(df, langid.filled(langs, gram, of)).collect()
+    assert len(got) == len(rows)
+    for r, (i, text, _) in zip(got, rows, strict=True):
+        grams = langid.grams([text.encode()])[0].tolist()
+        share = {name: sum(g in own for g in grams) / len(grams) for name, own in held.items()}
+        best = max(sorted(share), key=share.get)
+        assert r.doc_id == i and r.lang_pred == best
+        assert abs(r.score - share[best] / sum(share.values())) < 0.02
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST_ROWS", 20)
+    rows = [(i, t, x) for i, t, x in docs(2000) if x != "fr"] + [(5000 + i, t, x) for i, t, x in docs(60) if x == "fr"]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA), sample_rows=100)
+    assert "fr" in model.langs and model.predict([rows[-1][1].encode()])[0] == ["fr"]
