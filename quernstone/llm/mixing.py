@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import checkpointed, sliced
+from quernstone.llm.common import checkpointed, sliced, stratified
 from quernstone.llm.features import word_ids
 
-#: Labelled rows to learn from and to scale posteriors with, at most about; buckets of words; pull to 1; iterations at most; norm of the projected gradient that ends them.
-SAMPLE_ROWS, SCALE_ROWS, BUCKETS, PULL, ITERATIONS, ENOUGH = 20_000, 4_000, 1 << 16, 1e-3, 80, 2e-5
+#: Labelled rows to learn from, at most about, but about LEAST_ROWS of each domain if it has them, and to scale posteriors with; buckets of words; pull to 1; iterations at most; norm of the projected gradient that ends them.
+SAMPLE_ROWS, LEAST_ROWS, SCALE_ROWS, BUCKETS, PULL, ITERATIONS, ENOUGH = 20_000, 500, 4_000, 1 << 16, 1e-3, 80, 2e-5
 
 #: The columns that documents get.
 ADDED = ("tokens", "domain", "membership", "rate")
@@ -62,42 +62,41 @@ def tokens(text: bytes) -> int:
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """From ``(id, text, domain)``; of more rows than ``sample_rows`` a sample by a hash of the id.
 
-    Rows without a domain or a text teach nothing. A fifth of the sample scales the posteriors.
+    Rows without a domain or a text teach nothing. A fifth of the sample scales the posteriors. Domains count
+    by their share of the whole labelled table.
     """
-    rows = labelled.filter(F.col("domain").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    share = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1_000_000))
-    least = int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
-    rows = rows.filter(share < least).select(F.col("domain").cast("string").alias("domain"), F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64("id", F.lit("scale")), F.lit(5)) == 0).alias("scales"), "id")
-    rows = checkpointed(rows)
+    rows = labelled.filter(F.col("domain").isNotNull() & F.col("text").isNotNull()).withColumn("domain", F.col("domain").cast("string"))
+    rows, held = stratified(rows, "domain", "id", sample_rows, LEAST_ROWS, "mixing")
+    rows = checkpointed(rows.select("domain", F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64("id", F.lit("scale")), F.lit(5)) == 0).alias("scales"), "id"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column(0).dictionary_encode()
-            held = np.zeros((len(names.dictionary), BUCKETS + 1), np.int64)
+            seen = np.zeros((len(names.dictionary), BUCKETS), np.int64)
             for k, t in zip(np.asarray(names.indices), b.column(1), strict=True):
-                held[k, word_ids(t.as_py(), BUCKETS)] += 1
-                held[k, BUCKETS] += 1
-            k, at = np.nonzero(held)
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(k)), pa.array(at), pa.array(held[k, at])], ["domain", "at", "n"])
+                seen[k, word_ids(t.as_py(), BUCKETS)] += 1
+            k, at = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(k)), pa.array(at), pa.array(seen[k, at])], ["domain", "at", "n"])
 
     learned = rows.filter(~F.col("scales")).select("domain", "text")
     counts = learned.mapInArrow(counted, "domain string, at long, n long").groupBy("domain", "at").agg(F.sum("n").alias("n")).toArrow()
     domains = tuple(sorted(set(counts["domain"].to_pylist())))
     code = {d: i for i, d in enumerate(domains)}
-    table = np.zeros((BUCKETS + 1, len(domains)))
+    table = np.zeros((BUCKETS, len(domains)))
     if domains:
         table[np.asarray(counts["at"]), np.array([code[d] for d in counts["domain"].to_pylist()])] = np.asarray(counts["n"])
     words = table[:BUCKETS] + 0.1
-    model = Classifier(domains, np.log(words / words.sum(0)) if domains else words, np.log(np.maximum(table[BUCKETS], 1) / max(1, table[BUCKETS].sum())))
+    known = np.array([held[d] for d in domains], float)
+    model = Classifier(domains, np.log((words := table[:BUCKETS] + 0.1) / words.sum(0)) if domains else table[:BUCKETS], np.log(known / max(1.0, known.sum())))
     if len(domains) > 1:
-        held = rows.filter("scales").filter(F.pmod(F.xxhash64("id", F.lit("few")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SCALE_ROWS * 5 / sample_rows)) + 1)
-        got = held.select("domain", "text").mapInArrow(liker(model), "domain string, z array<double>").toArrow()
-        known = [i for i, d in enumerate(got["domain"].to_pylist()) if d in code]
-        if known:
-            z = np.array(got["z"].to_pylist())[known]
-            y = np.array([code[got["domain"][i].as_py()] for i in known])
-            loss = lambda s: -np.log(Classifier(domains, words, model.prior, s).posteriors(z)[np.arange(len(y)), y] + 1e-12).mean()
+        scales = rows.filter("scales").filter(F.pmod(F.xxhash64("id", F.lit("few")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SCALE_ROWS * 5 / sample_rows)) + 1)
+        got = scales.select("domain", "text").mapInArrow(liker(model), "domain string, z array<double>").toArrow()
+        of = [i for i, d in enumerate(got["domain"].to_pylist()) if d in code]
+        if of:
+            z = np.array(got["z"].to_pylist())[of]
+            y = np.array([code[got["domain"][i].as_py()] for i in of])
+            weight = known[y] / np.bincount(y, minlength=len(domains))[y]  # as frequent as in the table
+            loss = lambda s: np.average(-np.log(Classifier(domains, model.words, model.prior, s).posteriors(z)[np.arange(len(y)), y] + 1e-12), weights=weight)
             model.scale = min((2.0**k for k in range(-2, 9)), key=loss)
     return model
 
@@ -162,22 +161,21 @@ def fit(own: DataFrame, target: np.ndarray, iterations: int = ITERATIONS, domain
 
 
 def members(docs: DataFrame, model: Classifier, text: str, kept: list[str]) -> DataFrame:
-    """``kept`` columns of ``docs`` with ``__t`` and ``__p``: the tokens and the posterior of the whole text."""
+    """``(row, __t, __p)``: the ``kept`` columns of ``docs``, the tokens and the posterior of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            texts = [t.as_py() or b"" for t in b.column("__text")]
+            texts = [t.as_py() or b"" for t in b.column("text")]
             p = model.posteriors(model.likelihoods(texts)) if model.domains else np.empty((len(texts), 0))
             more = [pa.array([tokens(t) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "__t", "__p"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *more], ["row", "__t", "__p"])
 
-    schema = T.StructType([docs.schema[c] for c in kept]).add("__t", T.LongType()).add("__p", T.ArrayType(T.DoubleType()))
-    return docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(F.struct(*([docs[f"`{c}`"] for c in kept] or [F.lit(0).alias("none")])).alias("row"), docs[text].cast("binary").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("__t", T.LongType()).add("__p", T.ArrayType(T.DoubleType())))
 
 
 def rated(own: DataFrame, model: Classifier, errors: np.ndarray) -> DataFrame:
     """members()'s rows with ``tokens``, ``domain``, ``membership`` and ``rate``."""
-    kept = [c for c in own.columns if c not in ("__t", "__p")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -187,10 +185,10 @@ def rated(own: DataFrame, model: Classifier, errors: np.ndarray) -> DataFrame:
                 more = [pa.array([model.domains[k] for k in p.argmax(1)]), pa.array(p.max(1)), pa.array(replayed(p, errors)[0])]
             else:
                 more = [pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.ones(n))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), b.column("__t"), *more], [*kept, *ADDED])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("__t"), *more], ["row", *ADDED])
 
-    schema = T.StructType([own.schema[c] for c in kept]).add("tokens", "long").add("domain", "string").add("membership", "double").add("rate", "double")
-    return own.mapInArrow(run, schema)
+    schema = T.StructType([own.schema["row"]]).add("tokens", "long").add("domain", "string").add("membership", "double").add("rate", "double")
+    return own.mapInArrow(run, schema).select("row.*", *ADDED)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text: str = "text", keep: list[str] | None = None, iterations: int = ITERATIONS) -> DataFrame:
@@ -200,7 +198,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text:
     scaled to sum to 1 over the domains learned; one without a weight aims at 0. The tokens taken
     in all stay those of the table. Null and empty texts have no tokens, the prior as posterior and a rate
     like others. With no labelled row, or no weight on a learned domain, rates are 1; the domain is
-    null if none was learned. Every row comes back; columns of the four names are replaced.
+    null if none was learned. Every row comes back, repeated ones too, an empty table gives none; columns of
+    the four names are replaced, others come back as they were.
 
     ``keep`` names short columns to return instead of all: those go with the posteriors to the
     checkpoint folder, and texts are read once; otherwise they are read again at the end.
@@ -214,6 +213,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text:
 
 
 def vetted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(id, text, domain)``: the documents that the labels call good and not toxic, by language."""
-    good = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain"))
+    """``(id, text, domain)``: the documents that the labels call good and not toxic, by language.
+
+    A null among both values or a null id is no such label; repeated rows count as often as they occur.
+    """
+    good = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain")).join(good, "id", "left_semi").select("id", "text", "domain")

@@ -4,7 +4,7 @@ import numpy as np
 
 from quernstone.llm import mixing
 
-DOCS, LABELS = "doc_id long, text string, lang string, rate string", "doc_id long, quality int, toxic int"
+DOCS, LABELS = "doc_id long, text string, lang string, rate string, row string, __t long", "doc_id long, quality int, toxic int"
 
 
 def data(n=800):
@@ -13,17 +13,18 @@ def data(n=800):
     for i in range(n):
         lang = r.choice(["a", "a", "a", "b", "c"])
         words = [f"{lang}{r.randrange(60)}" if r.random() < 0.8 else f"x{r.randrange(40)}" for _ in range(r.randrange(5, 80))]
-        docs.append((i, " ".join(words), lang, "r"))
+        docs.append((i, " ".join(words), lang, "r", "z", 5))
     return docs
 
 
 def test_targets_are_met(spark):
     rows = data() + [(None, "a1 a2", None, None), (9000, None, "a", None), (9001, "", "b", None), (9002, "a1 " * 40_000, None, None), (0, "b1 b2", "b", None)]
+    rows = [(*x[:4], "z", 5) for x in rows]
     df = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 800, 2)] + [(1, 0, 0), (None, 1, 0)], LABELS)
     weights = {"a": 0.3, "b": 0.5, "c": 0.2, "nowhere": 5}
     got = mixing.mixed(df, mixing.vetted(df, labels), weights).toPandas()
-    assert len(got) == len(rows) and (got.rate >= 0).all() and list(got.columns) == ["doc_id", "text", "lang", "tokens", "domain", "membership", "rate"]
+    assert len(got) == len(rows) and (got.rate >= 0).all() and list(got.columns) == ["doc_id", "text", "lang", "row", "__t", "tokens", "domain", "membership", "rate"]
     assert got.tokens.tolist() == [len((t or "").split()) for t in got.text.fillna("")]
     model = mixing.learn(mixing.vetted(df, labels))
     p = model.posteriors(model.likelihoods([(t or "").encode() for t in got.text.fillna("")]))
@@ -68,3 +69,37 @@ def test_rare_domain_reaches_its_target(spark):
     rate = mixing.replayed(p, errors)[0]
     assert len(errors) < mixing.ITERATIONS
     assert np.abs((t * rate) @ p / t.sum() - target).max() < 1e-3
+
+
+def dense(p, t, target):
+    """The rates of least squares over all documents at once: Newton's method on the errors of the domains."""
+    w = t / t.sum()
+    share = w @ p
+    e = np.zeros(len(target))
+    for _ in range(200):
+        rate = np.maximum(0.0, 1 - p @ e / mixing.PULL)
+        slope = np.diag(share) + (p * (w * (rate > 0) / mixing.PULL)[:, None]).T @ p
+        e -= np.linalg.solve(slope, share * e - (w * rate) @ p + target)
+    return np.maximum(0.0, 1 - p @ e / mixing.PULL)
+
+
+def test_against_a_dense_solver(spark):
+    """The query's rates, over its own posteriors."""
+    df = spark.createDataFrame(data(), DOCS)
+    labelled = mixing.vetted(df, spark.createDataFrame([(i, 1, 0) for i in range(0, 800, 2)], LABELS))
+    weights = {"a": 0.2, "b": 0.45, "c": 0.35}
+    got = mixing.mixed(df, labelled, weights, keep=["doc_id"]).toPandas().sort_values("doc_id")
+    model = mixing.learn(labelled)
+    p = model.posteriors(model.likelihoods([x[1].encode() for x in data()]))
+    t = got.tokens.to_numpy(float)
+    want = dense(p, t, np.array([weights[d] for d in model.domains]))
+    assert np.sqrt(np.average((got.rate.to_numpy() - want) ** 2, weights=t)) < 0.02
+    assert np.abs((t * got.rate.to_numpy()) @ p / t.sum() - (t * want) @ p / t.sum()).max() < 1e-3
+
+
+def test_a_rare_domain_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_ROWS", 10)
+    rows = [(i, x[1], x[2]) for i, x in enumerate(data(3000)) if x[2] != "c" or i % 20 == 0]
+    model = mixing.learn(spark.createDataFrame(rows, "id long, text string, domain string"), sample_rows=100)
+    n = [sum(x[2] == d for x in rows) for d in "abc"]
+    assert model.domains == ("a", "b", "c") and np.allclose(np.exp(model.prior), np.array(n) / sum(n))
