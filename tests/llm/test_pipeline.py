@@ -83,3 +83,21 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark, folder):
     for k, (_, stage) in enumerate(cp.STAGES):
         out = stage(spark, docs, path)
         assert out.count() == 0 and out.columns[:5] == docs.columns and (len(out.columns) == 5) == (k < 4)
+
+
+def test_stages_carry_other_columns_and_repeated_rows(spark, folder):
+    """Columns of the names that operators use inside."""
+    path, rows, *_ = folder
+    names = "row key_a key_b id key found spans kinds both of_text of_meta keep leaked tokens_ node of __t __p __id __text".split()
+    some = [(*x, *range(len(names))) for x in rows[:80] + rows[:3] + rows[-3:]]
+    docs = spark.createDataFrame(some, DOCS + "".join(f", `{n}` int" for n in names))
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, path)
+        assert out.columns[: len(docs.columns)] == docs.columns and (len(out.columns) == len(docs.columns)) == (k < 4)
+        got = out.collect()
+        assert {tuple(r)[5 : 5 + len(names)] for r in got} == {tuple(range(len(names)))}
+        assert len(got) in ({len(some)} if k > 2 else range(40, len(some) + 1))
+        ids = [r.doc_id for r in got]
+        assert ids.count(None) == 1 or k == 0
+        if k == 1:
+            assert len(set(ids)) == len(ids)
