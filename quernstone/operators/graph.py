@@ -131,6 +131,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
 
 
+def adjacency_lists(edges: DataFrame) -> DataFrame:
+    """``(src, dsts)``: each vertex's successors in order, repeated ones as often as they occur."""
+    return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("dsts"))
+
+
 def dangling_vertices(edges: DataFrame) -> DataFrame:
     """``(id)``: vertices without an edge out."""
     return edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti")

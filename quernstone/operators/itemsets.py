@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed
 
+#: Rows up to which a counted side is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def min_count(n: int, min_support: float) -> int:
     """The least count of a relative support: rounded, halves up."""
@@ -52,34 +55,42 @@ def candidates(level: DataFrame, k: int) -> DataFrame:
     return made
 
 
-def itemset_levels(baskets: DataFrame, least: int, max_len: int | None = None, first_pairs: str = "candidates") -> list[DataFrame]:
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if it was counted to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def itemset_levels(baskets: DataFrame, least: int, max_len: int | None = None, first_pairs: str = "direct") -> list[DataFrame]:
     """``(items, support)`` of each level until one is empty.
 
-    Pairs are candidates like longer sets, or, with ``first_pairs="direct"``, counted as they occur in
-    baskets of frequent items, which saves making candidates of all pairs of those items.
+    Pairs are counted as they occur in baskets of frequent items; with ``first_pairs="candidates"`` they are
+    candidates like longer sets, which joins all frequent items with each other.
     """
     if first_pairs not in ("candidates", "direct"):
         raise ValueError("first_pairs is candidates or direct")
-    held = checkpointed(baskets.distinct().join(frequent_items(baskets, least).select("item"), "item", "left_semi").select("tid", F.array("item").alias("items")))
-    level = checkpointed(held.groupBy("items").agg(F.count(F.lit(1)).alias("support")))
+    one = frequent_items(baskets, least).select(F.array("item").alias("items"), "support")
+    level = checkpointed(one)
+    held = baskets.distinct().select("tid", F.array("item").alias("items")).join(small(level.select("items")), "items", "left_semi")
+    held = checkpointed(held)
     levels, k = [level], 2
     while (max_len is None or k <= max_len) and not level.isEmpty():
         if k == 2 and first_pairs == "direct":
             a, b = (held.select("tid", F.col("items")[0].alias(c)) for c in "ab")
             both = a.join(b, "tid").filter("a < b").select("tid", F.array("a", "b").alias("items"))
         else:
-            made = candidates(level.select("items"), k)
-            first = held.select("tid", F.col("items").alias("p1")).join(made, "p1")
+            made = checkpointed(candidates(level.select("items"), k))
+            if made.isEmpty():
+                break
+            first = held.select("tid", F.col("items").alias("p1")).join(small(made), "p1")
             both = first.join(held.select("tid", F.col("items").alias("p2")), ["tid", "p2"]).select("tid", "items")
-        counts = both.groupBy("items").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
-        level = checkpointed(counts)
-        held = checkpointed(both.join(level.select("items"), "items", "left_semi").select("tid", "items"))
+        level = checkpointed(both.groupBy("items").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least))
+        held = checkpointed(both.join(small(level.select("items")), "items", "left_semi").select("tid", "items"))
         levels.append(level)
         k += 1
     return levels
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float, max_len: int | None = None, first_pairs: str = "candidates") -> DataFrame:
+def frequent_itemsets(baskets: DataFrame, min_support: float, max_len: int | None = None, first_pairs: str = "direct") -> DataFrame:
     """``(size, items, support)``; items sorted and joined by ``|``."""
     n = baskets.agg(F.count_distinct("tid")).first()[0]
     levels = itemset_levels(baskets, max(1, min_count(n, min_support)), max_len, first_pairs)
@@ -87,6 +98,32 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, max_len: int | Non
     return every.select(F.size("items").alias("size"), F.concat_ws("|", "items").alias("items"), "support")
 
 
+def bloom_words(items: DataFrame, bits: int = 1 << 16, hashes: int = 3) -> list[int]:
+    """The words of a Bloom filter of ``items (item)``: ``bits`` / 64 longs, however many items there are."""
+    at = F.explode(F.array(*[F.pmod(F.xxhash64("item", F.lit(k)), F.lit(bits)) for k in range(hashes)]))
+    words = items.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    out = [0] * (bits // 64)
+    for r in words.collect():
+        out[r.word] = r.mask
+    return out
+
+
+def maybe_in(item: str, words: list[int], hashes: int = 3):
+    """Whether a Bloom filter may hold the item; false only where it does not."""
+    held, bits = F.array(*[F.lit(w).cast("long") for w in words]), len(words) * 64
+    at = [F.pmod(F.xxhash64(item, F.lit(k)), F.lit(bits)) for k in range(hashes)]
+    bit = lambda a: F.get(held, F.floor(a / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (a % 64).cast("int"))) != 0
+    return reduce(lambda x, y: x & y, [bit(a) for a in at])
+
+
+def frequent_pairs_bloom(baskets: DataFrame, least: int) -> DataFrame:
+    """frequent_pairs(), a Bloom filter of the frequent items keeping most others out of the self join; counts are exact."""
+    kept = baskets.distinct().filter(maybe_in("item", bloom_words(frequent_items(baskets, least).select("item"))))
+    pairs = kept.alias("l").join(kept.alias("r"), (F.col("l.tid") == F.col("r.tid")) & (F.col("l.item") < F.col("r.item")))
+    counts = pairs.groupBy(F.col("l.item").alias("a"), F.col("r.item").alias("b")).agg(F.count(F.lit(1)).alias("support"))
+    return counts.filter(F.col("support") >= least)
+
+
 def itemset_histogram(itemsets: DataFrame) -> DataFrame:
     """``(size, itemsets)``: how many frequent sets there are of each size."""
     return itemsets.groupBy("size").agg(F.count(F.lit(1)).alias("itemsets"))

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators.graph import adjacency_lists
 from quernstone.session import checkpointed
 from quernstone.sources.readers import chain_graph
 
@@ -15,8 +16,9 @@ def pagerank(edges: DataFrame, n_iter: int, alpha: float = 0.85, vertices: DataF
 
     pr'(v) = (1 - alpha) / N + alpha * (sum over edges into v of pr / outdeg + d / N), with d
     the mass of vertices without an edge out. ``vertices`` (id) adds isolated ones. Edges stay
-    partitioned by their source through all iterations; only ranks move. The lineage is cut by
-    a reliable checkpoint every ``cut_every`` iterations.
+    partitioned by their source through all iterations; only ranks move. Ranks are held, and d is one
+    number of them, so each iteration has the same plan; the lineage is cut by a reliable checkpoint
+    every ``cut_every`` iterations and at the end, and nothing stays held.
     """
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     ids = (ids if vertices is None else ids.union(vertices.select("id"))).distinct()
@@ -26,17 +28,33 @@ def pagerank(edges: DataFrame, n_iter: int, alpha: float = 0.85, vertices: DataF
     flagged = ids.join(outdeg.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left")
     flagged = flagged.select("id", F.col("out").isNull().alias("dangling")).persist(StorageLevel.MEMORY_AND_DISK)
     n = flagged.count()
-    ranks = flagged.select("id", "dangling", F.lit(1.0 / max(n, 1)).alias("pr"))
+    ranks, held = flagged.select("id", "dangling", F.lit(1.0 / max(n, 1)).alias("pr")), []
     for i in range(n_iter):
-        d = F.broadcast(ranks.filter("dangling").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("d")))
+        d = ranks.filter("dangling").agg(F.coalesce(F.sum("pr"), F.lit(0.0))).first()[0]
         into = w.join(ranks.select(F.col("id").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("share")).alias("s"))
-        pr = (1 - alpha) / n + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("d") / n)
-        ranks = flagged.join(into, "id", "left").crossJoin(d).select("id", "dangling", pr.alias("pr"))
-        if (i + 1) % cut_every == 0:
+        pr = F.lit((1 - alpha) / max(n, 1) + alpha * d / max(n, 1)) + alpha * F.coalesce("s", F.lit(0.0))
+        ranks = flagged.join(into, "id", "left").select("id", "dangling", pr.alias("pr"))
+        if i + 1 == n_iter or (i + 1) % cut_every == 0:
             ranks = checkpointed(ranks)
+            for x in held:
+                x.unpersist()
+            held = []
+        else:
+            ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(ranks)
+    if n_iter:
+        for x in (w, flagged):
+            x.unpersist()
     return ranks.select("id", "pr")
 
 
+def pagerank_nodes(edges: DataFrame, n_iter: int) -> DataFrame:
+    """``(id, adj, pr)``: each vertex with its successors, repeated ones as often as they occur, and its rank."""
+    adj = adjacency_lists(edges).withColumnRenamed("src", "id")
+    none = F.array().cast("array<bigint>")
+    return pagerank(edges, n_iter).join(adj, "id", "left").select("id", F.coalesce("dsts", none).alias("adj"), "pr")
+
+
 def pagerank_chain(spark: SparkSession, k: int, n_iter: int, max_id: int = 1000) -> DataFrame:
     """Ranks of the k by k chain graph up to ``max_id``, with the collecting vertex 0 at rank 0."""
     ids = spark.range(1, k * k + 1)

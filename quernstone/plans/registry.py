@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import graph as g
 from quernstone.operators import itemsets as fi
-from quernstone.operators.pagerank import pagerank, pagerank_chain
+from quernstone.operators.folds import aggregate_by_key, fold_by_key
+from quernstone.operators.pagerank import pagerank, pagerank_chain, pagerank_nodes
 from quernstone.operators.wordcount import word_count
+from quernstone.plans.files import FILES
 from quernstone.sources.readers import baskets_of, edges_from, edges_op, edges_ps, table
 
 EDGES_OP = "edges AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem, (SELECT count(*) AS n FROM part) WHERE l_orderkey < n AND l_partkey < n)"
@@ -204,7 +206,81 @@ REGISTRY = {
     ),
 }
 
-#: The queries that need no cap, over every edge; those of the names without _all keep the cap of their SQL.
+
+
+def ones(spark, sf_dir) -> DataFrame:
+    return all_edges(spark, sf_dir).filter("dst % 100 = 0").select("dst", F.lit(1).cast("long").alias("one"))
+
+
+def followers_folded(spark, sf_dir) -> DataFrame:
+    return fold_by_key(ones(spark, sf_dir), "dst", "one", F.lit(0).cast("long"), lambda a, b: a + b, "cnt")
+
+
+def followers_aggregated(spark, sf_dir) -> DataFrame:
+    return aggregate_by_key(ones(spark, sf_dir), "dst", "one", F.lit(0).cast("long"), lambda a, _: a + 1, lambda a, b: a + b, "cnt")
+
+
+def quantities_aggregated(spark, sf_dir) -> DataFrame:
+    """Sum, number and largest of each supplier's quantities, by a struct that is folded."""
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("long").alias("q")).dropna()
+    made = lambda s, n, top: F.struct(s.alias("s"), n.alias("n"), top.alias("top"))
+    zero = made(*[F.lit(0).cast("long")] * 3)
+    seq = lambda a, q: made(a["s"] + q, a["n"] + 1, F.greatest(a["top"], q))
+    comb = lambda a, b: made(a["s"] + b["s"], a["n"] + b["n"], F.greatest(a["top"], b["top"]))
+    got = aggregate_by_key(items, "l_suppkey", "q", zero, seq, comb)
+    return got.select("l_suppkey", F.col("out.s").alias("quantity"), F.col("out.n").alias("items"), F.col("out.top").alias("largest"))
+
+
+def pairs_of_brands_bloom(spark, sf_dir) -> DataFrame:
+    b = baskets_of(spark, sf_dir, "p_brand")
+    return fi.frequent_pairs_bloom(b, least_of(b, SUPPORT_BRAND))
+
+
+def sets_of_types_candidates(spark, sf_dir) -> DataFrame:
+    return fi.frequent_itemsets(baskets_of(spark, sf_dir, "p_type"), SUPPORT_TYPE, first_pairs="candidates")
+
+
+#: Triples that are looked for in one basket.
+TRIPLES = "145 124 457 125 458 159 136 234 567 345 356 357 689 367 368".split()
+BASKET = "12356"
+
+
+def triples_contained(spark, sf_dir) -> DataFrame:
+    sets = spark.createDataFrame([(t, x) for t in TRIPLES for x in t], "set_id string, item string")
+    return fi.contained(sets, spark.createDataFrame([(0, x) for x in BASKET], "tid long, item string"))
+
+
+def shown(lists: DataFrame, column: str) -> DataFrame:
+    return lists.withColumn(column, F.concat_ws("|", F.col(column).cast("array<string>")))
+
+
+FOLLOWERS = "SELECT l_partkey AS dst, count(*) AS cnt FROM lineitem WHERE l_partkey % 100 = 0 GROUP BY l_partkey"
+REGISTRY |= {
+    "follower_count_folded": (followers_folded, FOLLOWERS),
+    "follower_count_aggregated": (followers_aggregated, FOLLOWERS),
+    "quantities_aggregated": (
+        quantities_aggregated,
+        "SELECT l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(l_quantity) AS items, CAST(max(l_quantity) AS BIGINT) AS largest FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY l_suppkey",
+    ),
+    "adjacency_lists": (
+        lambda s, d: shown(g.adjacency_lists(all_edges(s, d)), "dsts"),
+        f"WITH {EDGES_ALL} SELECT src, string_agg(dst::VARCHAR, '|' ORDER BY dst) AS dsts FROM edges GROUP BY src",
+    ),
+    "pagerank_nodes": (
+        lambda s, d: shown(pagerank_nodes(all_edges(s, d), 2), "adj").withColumn("pr", F.round("pr", 9)),
+        f"WITH ranked AS ({pagerank_sql(2).replace(EDGES_OP, EDGES_ALL)}), {EDGES_ALL}, lists AS (SELECT src, string_agg(dst::VARCHAR, '|' ORDER BY dst) AS adj FROM edges GROUP BY src) SELECT id, coalesce(adj, '') AS adj, pr FROM ranked LEFT JOIN lists ON src = id",
+    ),
+    "frequent_pairs_bloom": (pairs_of_brands_bloom, REGISTRY["frequent_pairs"][1]),
+    "frequent_itemsets_candidates": (sets_of_types_candidates, REGISTRY["frequent_itemsets"][1]),
+    "contained_triples": (
+        triples_contained,
+        f"SELECT set_id, 0::BIGINT AS tid FROM (VALUES {', '.join(f"('{t}')" for t in TRIPLES)}) AS t(set_id) WHERE "
+        + " AND ".join(f"contains('{BASKET}', set_id[{i}])" for i in (1, 2, 3)),
+    ),
+}
+REGISTRY |= FILES
+
+#: Degrees, adjacency and ranks have no cap on ids: they run over every edge, and so does their SQL.
 WHOLE = {
     "in_out_degree": lambda s, d: g.degrees(all_edges(s, d)),
     "adjacency": lambda s, d: g.adjacency(all_edges(s, d)).select("src", F.concat_ws("|", F.col("dsts").cast("array<string>")).alias("dsts")),
@@ -212,7 +288,7 @@ WHOLE = {
     "pagerank_edges_op": lambda s, d: rounded(pagerank(all_edges(s, d), 3)),
     "pagerank_mass": lambda s, d: pagerank(all_edges(s, d), 3).agg(F.round(F.sum("pr"), 9).alias("mass"), F.count(F.lit(1)).alias("vertices")),
 }
-REGISTRY |= {f"{name}_all": (query, REGISTRY[name][1].replace(EDGES_OP, EDGES_ALL)) for name, query in WHOLE.items()}
+REGISTRY |= {name: (query, REGISTRY[name][1].replace(EDGES_OP, EDGES_ALL)) for name, query in WHOLE.items()}
 
 QUERIES = {name: query for name, (query, _) in REGISTRY.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in REGISTRY.items()}

@@ -42,6 +42,16 @@ def min_partitions(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def lines_per_split(df: DataFrame, n: int) -> DataFrame:
+    """As many partitions as it takes for about ``n`` rows in each, dealt out evenly."""
+    return df.repartition(max(1, -(-df.count() // n)))
+
+
+def empty_edges(spark: SparkSession) -> DataFrame:
+    """No edges."""
+    return spark.createDataFrame([], EDGE_SCHEMA)
+
+
 def baskets_from_lines(lines: DataFrame, sep: str = " ", comment: str = "#") -> DataFrame:
     """``(tid, item)`` from lines of items; blank and comment lines are dropped.
 
