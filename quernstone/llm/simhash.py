@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -396,9 +397,9 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)), np.uint64, BANDS)
 
 
-def sets_of(docs: DataFrame, text: str, edges: DataFrame, width: int) -> DataFrame:
-    """``(node, s)``: the shingles of each text on an edge; texts of one key have the same."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+def sets_of(docs: DataFrame, text: str, nodes: DataFrame, width: int) -> DataFrame:
+    """``(node, s)``: the shingles of the texts of ``nodes (node)``; texts of one key have the same."""
+    ends = nodes.select(F.col("node").alias("end")).distinct()
     small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,13 +467,13 @@ def torn(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(sizes, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("major")).alias("minor"), "n", "minors")
 
 
-def crossed(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, similarity: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of sketches of different components that may be as similar, for each i the likeliest ``most`` or all."""
+def crossed(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, similarity: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of sketches of different components that may be as similar, for each i the likeliest ``most``."""
     step = max(1, SKETCH_CELLS // max(1, len(y)))
     for at in range(0, len(x), step):
         alike, kept = estimates(x[at : at + step, None], y[None], similarity)
         kept &= of_x[at : at + step, None] != of_y[None]
-        if most is not None and most < len(y):
+        if most < len(y):
             j = np.argpartition(-np.where(kept, alike, -1.0), most - 1, axis=1)[:, :most]
             i = np.repeat(np.arange(len(j)), most)
             j = j.ravel()
@@ -482,10 +483,11 @@ def crossed(x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray, si
             yield at + i, j
 
 
-def proposed(own: DataFrame, sketches: DataFrame, similarity: float, most: int | None) -> DataFrame:
-    """``(a, b)``: crossed() in each bucket of torn()'s rows, of what is not in its largest component with all else.
+def celled(own: DataFrame, held: DataFrame, within) -> DataFrame:
+    """``(a, b)`` of ``within(node, component, left, s, cell)`` for torn()'s rows with what is ``held (node, s)`` of them.
 
-    A bucket is dealt out as a grid of cells with about CELL_ROWS nodes to a side.
+    A bucket is dealt out as a grid of cells with about CELL_ROWS nodes to a side: on the left what is not in
+    its largest component, on the right all. A task has several cells, as numbers.
     """
     over = lambda c: F.ceil(F.col(c) / CELL_ROWS).cast("long")
     part = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), over(c))
@@ -496,20 +498,59 @@ def proposed(own: DataFrame, sketches: DataFrame, similarity: float, most: int |
     cells = checkpointed(cells)
     shards = cells.count() // TASK_ROWS + 1
 
-    def within(t: pa.Table) -> pa.Table:
-        key, left = np.stack([np.asarray(t[c]) for c in ("bucket", "l", "r")], 1), np.asarray(t["left"]).astype(bool)
-        node, component, s = np.asarray(t["node"]), np.asarray(t["component"]), stacked(t["s"])
-        _, cell = np.unique(key, axis=0, return_inverse=True)
-        order = np.argsort(cell.ravel(), kind="stable")
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for own in np.split(order, np.flatnonzero(np.diff(cell.ravel()[order])) + 1):
-            x, y = own[left[own]], own[~left[own]]
-            out += [(node[x[i]], node[y[j]]) for i, j in crossed(s[x], component[x], s[y], component[y], similarity, most)]
-        a, b = (np.concatenate(v) for v in zip(*out, strict=True))
+    def run(t: pa.Table) -> pa.Table:
+        key = np.stack([np.asarray(t[c]) for c in ("bucket", "l", "r")], 1)
+        cell = np.unique(key, axis=0, return_inverse=True)[1].ravel()
+        a, b = within(np.asarray(t["node"]), np.asarray(t["component"]), np.asarray(t["left"]).astype(bool), t["s"], cell)
         return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
-    held = cells.join(sketches, "node").withColumn("shard", F.pmod(F.xxhash64("bucket", "l", "r"), F.lit(shards)))
-    return held.groupBy("shard").applyInArrow(within, "a long, b long").distinct()
+    dealt = cells.join(held, "node").withColumn("shard", F.pmod(F.xxhash64("bucket", "l", "r"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+
+
+def by_cell(cell: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows on the left and on the right of each cell."""
+    order = np.argsort(cell, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        yield own[left[own]], own[~left[own]]
+
+
+def proposed(own: DataFrame, sketches: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``(a, b)``: of each node on the left of a cell the ``most`` likeliest partners, by sketches."""
+
+    def within(node, component, left, sketch, cell):
+        s, out = stacked(sketch), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for x, y in by_cell(cell, left):
+            out += [(node[x[i]], node[y[j]]) for i, j in crossed(s[x], component[x], s[y], component[y], similarity, most)]
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+    return celled(own, sketches, within)
+
+
+def closing(own: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links that join the components of torn()'s buckets, all pairs of a cell compared by their whole sets.
+
+    Of each node on the left one link to each component that it is linked to, so never all pairs.
+    """
+
+    def within(node, component, left, s, cell):
+        flat, sizes = np.asarray(s.combine_chunks().flatten()).view(np.uint64), np.asarray(pc.list_value_length(s)).astype(np.int64)
+        starts, out = np.cumsum(sizes) - sizes, [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for x, y in by_cell(cell, left):
+            if not len(x) or not len(y):
+                continue
+            texts = flat[np.repeat(starts[y] - np.cumsum(sizes[y]) + sizes[y], sizes[y]) + np.arange(sizes[y].sum())]
+            at = np.cumsum(sizes[y]) - sizes[y]
+            for i in x:
+                one = flat[starts[i] : starts[i] + sizes[i]]
+                hit = one[np.minimum(np.searchsorted(one, texts), len(one) - 1)] == texts
+                both = np.add.reduceat(hit.astype(np.int64), at)
+                linked = np.flatnonzero((both >= similarity * (sizes[i] + sizes[y] - both)) & (component[y] != component[i]))
+                to = y[linked[np.unique(component[y[linked]], return_index=True)[1]]]
+                out.append((np.full(len(to), node[i]), node[to]))
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+    return celled(own, sets, within)
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -542,32 +583,35 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def alike_groups(docs: DataFrame, text: str, groups: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     """``(node, component)`` of the texts linked by that similarity; ``docs`` as keyed() gives them.
 
-    First every node of a bucket is compared with the smallest in it, and what the trees propose. In the
-    buckets that hold several components after that, what is not in the largest one is compared with all
-    of other components: the likeliest partners first, then every pair that sketches do not show to be
-    clearly under the similarity. So each pair that shares a band is compared by the whole sets, or is
-    of one component, or clearly unlike.
+    First every node is compared with the smallest one that it shares a band with, and what the trees
+    propose. In the buckets that hold several components after that, what is not in the largest one is
+    compared with the likeliest nodes of other components, by sketches, and in those that still do with
+    all of other components. So each pair that shares a band is compared by the whole sets, or of one
+    component.
     """
     sketches = groups.select(F.col("a").alias("node"), F.col("sketch").alias("s"))
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     buckets = checkpointed(buckets_of(groups))
-    stars = buckets.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    stars = buckets.groupBy("node").agg(F.min("first").alias("first")).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     trees = candidates(groups.select(F.col("a").alias("node"), "views"), radius)
     edges = checkpointed(likely(stars.unionByName(trees).distinct(), sketches, similarity))
-    for most in (LIKELIEST, None):
-        labels = linked(docs, text, labels, edges, width, similarity)
-        own = checkpointed(torn(buckets, labels))
-        if own.isEmpty():
-            return labels
-        edges = checkpointed(proposed(own, sketches, similarity, most))
-    return linked(docs, text, labels, edges, width, similarity)
+    labels = linked(docs, text, labels, edges, width, similarity)
+    own = checkpointed(torn(buckets, labels))
+    if own.isEmpty():
+        return labels
+    labels = linked(docs, text, labels, checkpointed(proposed(own, sketches, similarity, LIKELIEST)), width, similarity)
+    own = checkpointed(torn(buckets, labels))
+    if own.isEmpty():
+        return labels
+    return contracted(labels, checkpointed(closing(own, checkpointed(sets_of(docs, text, own, width)), similarity)))
 
 
 def linked(docs: DataFrame, text: str, labels: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
     """``labels`` after the ``edges`` that hold when the whole sets are compared."""
     if edges.isEmpty():
         return labels
-    sets = checkpointed(sets_of(docs, text, edges, width))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
+    sets = checkpointed(sets_of(docs, text, ends, width))
     return contracted(labels, checkpointed(verified(edges, sets, similarity)))
 
 
