@@ -6,8 +6,9 @@ strings meet in the shard of their anchor: documents are cut into runs of window
 equal runs shrink to their first, and runs go to shards by anchor. A shard builds a suffix
 array by Larsson-Sadakane refinement, common prefixes by Kasai's rule, and has its repeated windows
 side by side; a shard beyond a bounded size is built in parts, whose sorted windows are merged by
-binary search. Anchors met in a large share of a sample of documents have their windows spread
-over all shards one by one.
+binary search. Anchors of many different runs have these cut into pieces of PIECE windows, which go
+to shards by the bytes that all windows of a piece have in common. Repeats that a task finds among
+its own runs go to no anchor's shard.
 """
 
 from __future__ import annotations
@@ -28,8 +29,14 @@ from quernstone.llm.common import checkpointed, release
 WINDOW, GRAM = 100, 16
 #: Bytes of text handled at once, of runs to a package of a task, of runs to a shard as aimed at, of text to a suffix array.
 CHUNK, PACKAGE, SHARD, PART = 1 << 19, 32 << 20, 24 << 20, 1 << 20
-#: Documents sampled for frequent anchors, and the share of them from which an anchor is one.
-SAMPLED, FREQUENT = 2000, 0.05
+#: One document in SAMPLED is looked at for anchors with about HOT different runs or more; of these the MOST frequent are
+#: cut, runs of others stay whole: that decides where runs meet, never what is found.
+SAMPLED, HOT, MOST = 16, 16384, 1 << 17
+#: Windows to a piece of a hot anchor's run, and the bytes that all of them have in common.
+PIECE = 8
+COMMON = WINDOW - PIECE + 1
+#: Repeats held by a shard before they are given out.
+HELD = 1 << 17
 #: What a null id sorts as.
 NO_ID = 2**63 - 1
 
@@ -91,66 +98,80 @@ def runs(parts: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.nda
     return text, np.searchsorted(ends, start, side="right"), start, number, anchor, h[anchor]
 
 
+def pieces(start: np.ndarray, number: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, number of windows, where the common bytes begin) of the pieces of runs, cut at fixed distances from the anchor."""
+    run = np.repeat(np.arange(len(start)), number)
+    at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(number) - number, number)
+    which = (anchor[run] - at) // PIECE
+    first = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(which, prepend=-1) != 0))
+    run = run[first]
+    return run, at[first], np.diff(first, append=len(at)), anchor[run] - PIECE * which[first]
+
+
 class Packer:
-    """Collects runs, equal ones as their first, and packs them by shard."""
+    """Collects runs, equal ones as their first, and packs them by shard; the others are repeats whatever other tasks hold."""
 
     def __init__(self, shards: int, frequent: np.ndarray):
-        self.shards, self.frequent = shards, frequent
+        self.shards, self.frequent = shards, np.sort(frequent)
         self.clear()
 
     def clear(self):
         self.first: dict[bytes, tuple] = {}
-        self.repeats: list[tuple] = []
+        self.gone: list[tuple] = []
         self.size = 0
 
     def add(self, ids: list[tuple[int, int]], parts: list[tuple[int, int, bytes]]) -> None:
         text, part, start, number, anchor, h = runs(parts)
-        hot = np.isin(h, self.frequent)
-        if hot.any():  # one by one, each to the shard of its own bytes
-            n = number[hot]
-            at = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            alone = [np.repeat(part[hot], n), at, np.ones(len(at), np.int64), np.repeat(anchor[hot], n), np.zeros(len(at), np.uint64)]
-            part, start, number, anchor, h = (np.concatenate([x[~hot], y]) for x, y in zip((part, start, number, anchor, h), alone, strict=True))
+        shared = np.full(len(h), GRAM)
+        if len(self.frequent):
+            hot = self.frequent[np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)] == h
+            if hot.any():
+                own, *cut = pieces(start[hot], number[hot], anchor[hot])
+                cut = [part[hot][own], *cut, h[hot][own], np.full(len(own), COMMON)]
+                part, start, number, anchor, h, shared = (np.concatenate([x[~hot], y]) for x, y in zip((part, start, number, anchor, h, shared), cut, strict=True))
         offset = np.cumsum([0, *(len(p) for *_, p in parts)])
         shard = (h % np.uint64(self.shards)).astype(np.int64)
         own = np.array([d for d, *_ in parts])[part]
         begins = start - offset[part] + np.array([lo for _, lo, _ in parts])[part]
-        for k, d, b, s, e, a, single in zip(shard.tolist(), own.tolist(), begins.tolist(), start.tolist(), (start + number + WINDOW - 1).tolist(), (anchor - start).tolist(), (h == 0).tolist(), strict=True):
+        for k, d, b, s, e, a, n in zip(shard.tolist(), own.tolist(), begins.tolist(), start.tolist(), (start + number + WINDOW - 1).tolist(), (anchor - start).tolist(), shared.tolist(), strict=True):
             run = text[s:e]
             found = self.first.get(run)
             here = (*ids[d], b)
             if found is None:
-                if single:
-                    k = xxhash.xxh3_64_intdigest(run) % self.shards
-                self.first[run] = (k, here, a)
+                if n == COMMON:
+                    k = xxhash.xxh3_64_intdigest(run[a : a + n]) % self.shards
+                self.first[run] = (k, here, a, n)
                 self.size += len(run) + 100
             elif found[1] == here:  # a repeated row
                 continue
-            elif found[1] < here:
-                self.repeats.append((found[0], here, len(run)))
             else:
-                self.first[run] = (found[0], here, a)
-                self.repeats.append((found[0], found[1], len(run)))
+                if here < found[1]:
+                    self.first[run] = (found[0], here, *found[2:])
+                    here = found[1]
+                self.gone.append((*here, here[2] + e - s))
+                self.size += 100
 
     def packages(self) -> tuple[list[int], list[bytes]]:
-        by = defaultdict(lambda: ([], [], [], [], []))
-        for run, (k, here, a) in self.first.items():
-            p = by[k]
-            p[0].append(run)
-            p[1].append(here)
-            p[2].append(a)
-        for k, here, n in self.repeats:
-            by[k][3].append(here)
-            by[k][4].append(n)
-        out = [zstandard.ZstdCompressor(level=3).compress(pickle.dumps(pack(*p))) for p in by.values()]
-        shards = list(by)
+        by = defaultdict(lambda: ([], [], [], []))
+        for run, (k, here, a, n) in self.first.items():
+            for held, x in zip(by[k], (run, here, a, n), strict=True):
+                held.append(x)
+        shards, out = list(by), [packed(pack(*p)) for p in by.values()]
+        if self.gone:  # to any shard, which one the first text says
+            rows = united(np.array(self.gone, np.int64))
+            shards.append(int(rows[0, 1]) % self.shards)
+            out.append(packed(rows))
         self.clear()
         return shards, out
 
 
-def pack(texts: list[bytes], places: list[tuple], offsets: list[int], again: list[tuple], sizes: list[int]) -> tuple:
-    columns = lambda rows: [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 3
-    return b"".join(texts), np.array([len(t) for t in texts], np.int32), columns(places), np.array(offsets, np.uint8), columns(again), np.array(sizes, np.int64)
+def packed(x: object) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x))
+
+
+def pack(texts: list[bytes], places: list[tuple], offsets: list[int], shared: list[int]) -> tuple:
+    columns = [np.array(c, np.int64) for c in zip(*places, strict=True)]
+    return b"".join(texts), np.array([len(t) for t in texts], np.int32), columns, np.array(offsets, np.uint8), np.array(shared, np.uint8)
 
 
 def suffix_order(t: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -233,6 +254,21 @@ def firsts(place: tuple[np.ndarray, ...], group: np.ndarray) -> np.ndarray:
     return out
 
 
+def merge(windows: np.ndarray, where: np.ndarray, others: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of windows that another part has earlier, the sorted windows of both parts, where each starts first)."""
+    k = np.searchsorted(windows, others)
+    met = np.flatnonzero(windows[np.minimum(k, len(windows) - 1)] == others)
+    old, new = where[k[met]], places[met]
+    differs = old != new
+    column = differs.argmax(1)[:, None]
+    first = (np.take_along_axis(old, column, 1) <= np.take_along_axis(new, column, 1)).ravel()
+    where[k[met[~first]]] = new[~first]
+    alone = np.ones(len(others), bool)
+    alone[met] = False
+    gone = np.concatenate([new[first & differs.any(1)], old[~first]])
+    return gone, np.insert(windows, k[alone], others[alone]), np.insert(where, k[alone], places[alone], axis=0)
+
+
 def repeated(texts: list[bytes], places: np.ndarray) -> Iterator[np.ndarray]:
     """(id, key, window start) of each window that starts earlier in another of the runs ``texts``, which start at ``places``."""
     merged: np.ndarray | None = None  # the sorted windows of parts so far, and where each starts first
@@ -267,17 +303,8 @@ def repeated(texts: list[bytes], places: np.ndarray) -> Iterator[np.ndarray]:
             if merged is None:
                 merged, where = windows, place
             else:
-                k = np.searchsorted(merged, windows)
-                met = np.flatnonzero(merged[np.minimum(k, len(merged) - 1)] == windows)
-                old, new = where[k[met]], place[met]
-                later = [tuple(o) <= tuple(x) for o, x in zip(old.tolist(), new.tolist(), strict=True)]
-                later = np.array(later, bool)
-                yield new[later]
-                yield old[~later]
-                where[k[met[~later]]] = new[~later]
-                alone = np.ones(len(windows), bool)
-                alone[met] = False
-                merged, where = np.insert(merged, k[alone], windows[alone]), np.insert(where, k[alone], place[alone], axis=0)
+                later, merged, where = merge(merged, where, windows, place)
+                yield later
         lo = hi
 
 
@@ -295,43 +322,43 @@ def bounded(groups: list[list[tuple]]) -> Iterator[list[tuple]]:
         yield held
 
 
-def judged(packages: Iterator[bytes]) -> pa.RecordBatch:
+def judged(packages: Iterator[bytes]) -> Iterator[np.ndarray]:
     """(id, key, lo, hi): the bytes that go, of one shard's packages."""
     first: dict[bytes, tuple] = {}
     gone: list[tuple] = []
-    spans = []
     for package in packages:
-        joined, sizes, places, offsets, again, lengths = pickle.loads(zstandard.ZstdDecompressor().decompress(package))
-        if len(lengths):
-            spans.append(np.stack([again[0], again[1], again[2], again[2] + lengths], 1))
+        content = pickle.loads(zstandard.ZstdDecompressor().decompress(package))
+        if isinstance(content, np.ndarray):  # repeats already
+            yield content
+            continue
+        joined, sizes, places, offsets, shared = content
         at = 0
-        for n, d, k, b, a in zip(sizes.tolist(), *(c.tolist() for c in places), offsets.tolist(), strict=True):
+        for n, d, k, b, a, c in zip(sizes.tolist(), *(x.tolist() for x in places), offsets.tolist(), shared.tolist(), strict=True):
             run, here = joined[at : at + n], (d, k, b)
             at += n
             found = first.get(run)
             if found is None:
-                first[run] = (here, a)
-            elif found[0] == here:
-                continue
-            elif found[0] < here:
-                gone.append((*here, b + n))
-            else:
-                first[run] = (here, a)
-                gone.append((*found[0], found[0][2] + n))
+                first[run] = (here, a, c)
+            elif found[0] != here:
+                if here < found[0]:
+                    first[run] = (here, a, c)
+                    here = found[0]
+                gone.append((*here, here[2] + n))
+        if len(gone) >= HELD:
+            yield united(np.array(gone, np.int64))
+            gone = []
     if gone:
-        spans.append(np.array(gone, np.int64))
+        yield united(np.array(gone, np.int64))
     by = defaultdict(list)
-    for run, (here, a) in first.items():
-        by[run[a : a + GRAM]].append((run, here))
+    for run, (here, a, c) in first.items():
+        by[run[a : a + c]].append((run, here))
     # different runs of one anchor may share windows, unless each is a single window
-    shared = [own for own in by.values() if len(own) > 1 and any(len(r) > WINDOW for r, _ in own)]
+    meeting = [own for own in by.values() if len(own) > 1 and any(len(r) > WINDOW for r, _ in own)]
     del first, by
-    for together in bounded(shared):
+    for together in bounded(meeting):
         for found in repeated([r for r, _ in together], np.array([h for _, h in together], np.int64)):
             if len(found):
-                spans.append(united(np.column_stack([found, found[:, 2] + WINDOW])))
-    rows = united(np.concatenate(spans)) if spans else np.empty((0, 4), np.int64)
-    return pa.RecordBatch.from_pydict({c: pa.array(np.ascontiguousarray(rows[:, i])) for i, c in enumerate(("id", "key", "lo", "hi"))})
+                yield united(np.column_stack([found, found[:, 2] + WINDOW]))
 
 
 def united(rows: np.ndarray) -> np.ndarray:
@@ -349,20 +376,19 @@ def united(rows: np.ndarray) -> np.ndarray:
 
 
 def frequent_anchors(docs: DataFrame) -> np.ndarray:
-    """Hashes of the anchors in at least FREQUENT of a sample of documents, by a hash of their keys."""
-    n = docs.count()
-    least = int(1_000_000 * min(1.0, SAMPLED / max(1, n))) + 1
-    sample = docs.filter(F.pmod(F.xxhash64("id", "key"), F.lit(1_000_000)) < least).select("text")
+    """Hashes of the anchors with HOT different runs or more, as far as one document in SAMPLED tells; at most MOST of them."""
+    sample = docs.filter(F.pmod(F.xxhash64("id", "key"), F.lit(SAMPLED)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                found = [runs(p)[5] for p in segments([x.as_py()])]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["h"])
-
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.filter(F.col("n") >= max(20, FREQUENT * min(n, SAMPLED))).select("h").collect()
+            for parts in segments([x.as_py() for x in b.column(0)]):
+                text, _, start, number, _, h = runs(parts)
+                own = [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start.tolist(), (start + number + WINDOW - 1).tolist(), strict=True)]
+                rows = np.unique(np.column_stack([h, np.array(own, np.uint64)]), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["h", "run"])
+
+    counts = sample.mapInArrow(run, "h long, run long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.filter(F.col("n") >= max(1, HOT // SAMPLED)).orderBy(F.desc("n"), "h").limit(MOST).select("h").collect()
     return np.array([r.h for r in rows], np.int64).view(np.uint64)
 
 
@@ -387,13 +413,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    packed = docs.select("id", "key", "text").mapInArrow(run, "shard long, package binary")
+    sent = docs.select("id", "key", "text").mapInArrow(run, "shard long, package binary")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield judged(x.as_py() for b in batches for x in b.column(1))
+        for rows in judged(x.as_py() for b in batches for x in b.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], ["id", "key", "lo", "hi"])
 
     # a partition for each shard, so that no task gets several by chance
-    return packed.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(judge, "id long, key long, lo long, hi long")
+    return sent.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(judge, "id long, key long, lo long, hi long")
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -45,6 +45,8 @@ def corpus(seed, n=60):
             k = r.randrange(len(t) + 1)
             docs.append((i * 3 + 2, t[:k] + "X" + t[k:]))
     docs += [(5000, ""), (5001, None), (5002, "x" * 99), (5003, "x" * 3000), (5004, "ab" * 400), (5005, "y" + "x" * 100), (5006, "\0" * 250 + "é"), (5007, "\0" * 120)]
+    zeros = make(20) + "\0" * 16 + make(20)
+    docs += [(5008, "left " + zeros), (5009, zeros + " right")]
     return docs
 
 
@@ -55,17 +57,62 @@ def result(spark, docs):
 
 @pytest.mark.parametrize("case", ["plain", "small", "frequent"])
 def test_against_brute_force(spark, monkeypatch, case):
-    if case == "small":  # long texts in parts, many packages, shards in many parts
-        for name, value in (("CHUNK", 400), ("PACKAGE", 3000), ("SHARD", 20_000), ("PART", 1500)):
-            monkeypatch.setattr(suffix, name, value)
-    if case == "frequent":
-        monkeypatch.setattr(suffix, "FREQUENT", 0.1)
+    if case != "plain":
         monkeypatch.setattr(suffix, "SHARD", 20_000)
+    if case == "frequent":
+        monkeypatch.setattr(suffix, "HOT", 2)
+        monkeypatch.setattr(suffix, "SAMPLED", 1)
     docs = corpus(3)
     got = sorted(tuple(r) for r in result(spark, docs))
     assert got == [(i, *x) for (i, _), x in zip(docs, brute(docs))]
 
 
+@pytest.mark.parametrize("share", [0, 0.5, 1])
+def test_bounded_parts_against_brute_force(monkeypatch, share):
+    """Long texts in parts, many packages, shards in many parts that are merged, hot anchors cut; as a task runs them, in turn and in reverse."""
+    for name, value in (("CHUNK", 400), ("PART", 1500), ("HELD", 5)):
+        monkeypatch.setattr(suffix, name, value)
+    merges = []
+    merge = suffix.merge
+    monkeypatch.setattr(suffix, "merge", lambda *a: merges.append(1) or merge(*a))
+    docs = corpus(4)
+    texts = [(t or "").encode() for _, t in docs]
+    found = np.unique(np.concatenate([suffix.runs(p)[5] for p in suffix.segments(texts)]))
+    frequent = np.random.default_rng(1).permutation(found)[: int(share * len(found))]
+    packer, shards = suffix.Packer(3, frequent), {}
+    order = np.random.default_rng(2).permutation(len(docs))
+    for k in order:
+        for parts in suffix.segments([texts[k]]):
+            packer.add([(docs[k][0], 0)], parts)
+            if packer.size >= 3000:
+                for shard, package in zip(*packer.packages()):
+                    shards.setdefault(shard, []).append(package)
+    for shard, package in zip(*packer.packages()):
+        shards.setdefault(shard, []).append(package)
+    gone = {i: np.zeros(len(t), bool) for (i, _), t in zip(docs, texts)}
+    for packages in shards.values():
+        for rows in suffix.judged(iter(packages[::-1])):
+            for i, _, lo, hi in rows.tolist():
+                gone[i][lo:hi] = True
+    got = [(len(t), int(gone[i].sum()), hashlib.sha256(bytes(x for x, g in zip(t, gone[i]) if not g)).hexdigest()) for (i, _), t in zip(docs, texts)]
+    assert got == [(n, removed, sha) for n, removed, _, sha in brute(docs)]
+    assert merges or share == 1  # pieces of few windows fit into one part
+
+
+def test_hot_anchors_are_found(spark, monkeypatch):
+    """By their different runs; copies do not make an anchor hot."""
+    monkeypatch.setattr(suffix, "SAMPLED", 1)
+    monkeypatch.setattr(suffix, "HOT", 30)
+    r = random.Random(7)
+    noise = lambda k: "".join(r.choices("abcdefghij", k=k))
+    shared, copied = noise(150), noise(400)
+    docs = [(i, noise(120) + shared + noise(120)) for i in range(60)] + [(100 + i, copied) for i in range(60)]
+    df = spark.createDataFrame([(i, i, t.encode()) for i, t in docs], "id long, key long, text binary")
+    found = set(suffix.frequent_anchors(df).tolist())
+    of = lambda t: {int(h) for p in suffix.segments([t.encode()]) for h in suffix.runs(p)[5]}
+    assert found and found <= of(shared) | of(docs[0][1]) and not found & of(copied)
+
+
 def test_null_and_repeated_ids(spark):
     t = "a passage that is quite long and says a lot about nothing at all, over and over and on " * 2
     u = "an entirely other text of more than one hundred bytes in length, with nothing in it of what the first says. ok?"
