@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import checkpointed, release
+from quernstone.llm.common import checkpointed
 
 WINDOW, GRAM = 100, 16
 #: Bytes of text handled at once, of runs to a package of a task, of runs to a shard as aimed at, of text to a suffix array.
@@ -423,6 +423,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     return sent.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(judge, "id long, key long, lo long, hi long")
 
 
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the last column compressed: they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        texts = pa.array([pack.compress(x.as_py()) for x in b.columns[-1]], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=b.schema.names)
+
+
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, kept, spans)`` of every row: the bytes that remain, and the (lo, hi) of those that went.
 
@@ -433,15 +441,15 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("text"))
     own = own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text")
     found = checkpointed(repeats(own))
-    release(docs.sparkSession)
     spans = found.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    joined = own.join(spans, ["id", "key"], "left").select("doc_id", "text", "found")
+    joined = own.mapInArrow(packed_texts, own.schema).join(spans, ["id", "key"], "left").select("doc_id", "text", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             sizes, kept, gone = [], [], []
             for x, s in zip(b.column(1), b.column(2), strict=True):
-                t, at, out, lost = x.as_py(), 0, [], []
+                t, at, out, lost = unpack.decompress(x.as_py()), 0, [], []
                 for r in sorted(s.as_py() or [], key=lambda r: r["lo"]):
                     if lost and r["lo"] <= lost[-1]["hi"]:
                         lost[-1]["hi"] = max(lost[-1]["hi"], r["hi"])
