@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "release", "running", "sliced", "stratified", "table"]
+__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "running", "sliced", "stratified", "table"]
 
 
 #: Values that running() sums at once; the sums of such runs are summed after that.
@@ -91,18 +89,6 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(lo, rows)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the cleaner drop shuffle files that no plan needs any more, as after a checkpoint.
-
-    It learns of them from the collection of garbage here and in the JVM; what the first round frees
-    may hold more.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the folder, only the columns named."""
     importable(spark)

@@ -26,8 +26,8 @@ from quernstone.llm.features import TEXT_IDS, WORDS, meta_ids, text_ids
 LABELLED_ROWS, BROADCAST_ROWS = 15_000, 1_000_000
 #: Features kept of a view; rounds; calibrated certainty for a pseudo-label and its weight; one in so many labelled rows calibrates.
 FEATURES, ROUNDS, SURE, PSEUDO_WEIGHT, CALIBRATES = 600, 2, 0.98, 0.5, 4
-#: Rows of a regression summed at once, standard errors from which log-odds count, and what their mean is multiplied by.
-ROWS, TELLS, LEAN = 2048, 2.0, 10.0
+#: Rows of a regression summed at once, feature numbers of a sample looked at once, standard errors from which log-odds count, and what their mean is multiplied by.
+ROWS, NUMBERS, TELLS, LEAN = 2048, 1 << 20, 2.0, 10.0
 META = ("lang", "source", "n_chars")
 #: Numbers of features of a view.
 SIZES = {"text": TEXT_IDS, "meta": WORDS}
@@ -68,6 +68,17 @@ class Sets:
     flat: np.ndarray
     sizes: np.ndarray
 
+    def blocks(self) -> Iterator[Sets]:
+        """The rows in order, in parts of at most NUMBERS feature numbers or one row; at least one part."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        lo = 0
+        while True:
+            hi = min(len(self.sizes), max(lo + 1, int(np.searchsorted(ends, ends[lo] + NUMBERS, side="right")) - 1))
+            yield Sets(self.flat[ends[lo] : ends[hi]], self.sizes[lo:hi])
+            lo = hi
+            if lo >= len(self.sizes):
+                return
+
     @classmethod
     def of(cls, lists: pa.ChunkedArray) -> Sets:
         a = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -76,10 +87,12 @@ class Sets:
     def dense(self, features: np.ndarray) -> np.ndarray:
         """A column for each feature, sorted."""
         out = np.zeros((len(self.sizes), len(features)), np.float32)
-        if len(features):
-            at = np.minimum(np.searchsorted(features, self.flat), len(features) - 1)
-            hit = features[at] == self.flat
-            out[np.repeat(np.arange(len(self.sizes)), self.sizes)[hit], at[hit]] = 1
+        lo = 0
+        for part in self.blocks() if len(features) else ():
+            at = np.minimum(np.searchsorted(features, part.flat), len(features) - 1)
+            hit = features[at] == part.flat
+            out[lo + np.repeat(np.arange(len(part.sizes)), part.sizes)[hit], at[hit]] = 1
+            lo += len(part.sizes)
         return out
 
 
@@ -96,8 +109,13 @@ class Counts:
 
     @classmethod
     def of(cls, sets: Sets, y: np.ndarray, size: int) -> Counts:
-        each = [np.bincount(sets.flat[np.repeat(y == c, sets.sizes)], minlength=size) for c in (0, 1)]
-        return cls(np.array([(y == c).sum() for c in (0, 1)], float), np.stack(each).astype(float))
+        features, lo = np.zeros((2, size)), 0
+        for part in sets.blocks():
+            own = y[lo : lo + len(part.sizes)]
+            for c in (0, 1):
+                features[c] += np.bincount(part.flat[np.repeat(own == c, part.sizes)], minlength=size)
+            lo += len(own)
+        return cls(np.array([(y == c).sum() for c in (0, 1)], float), features)
 
 
 @dataclass
@@ -112,13 +130,19 @@ class View:
 
     def lean(self, sets: Sets) -> np.ndarray:
         """LEAN times the mean log-odds of each row's features."""
+        return np.concatenate([self.lean_of(part) for part in sets.blocks()])
+
+    def lean_of(self, sets: Sets) -> np.ndarray:
         row = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
         odds = self.odds[np.minimum(sets.flat, len(self.odds) - 1)]
         return LEAN * np.bincount(row, odds, minlength=len(sets.sizes)) / np.maximum(1, sets.sizes)
 
     def margins(self, sets: Sets) -> np.ndarray:
         """The sums of the weights of each row's features, and what they lean to."""
-        out = self.weights[-2] * self.lean(sets) + self.weights[-1]
+        return np.concatenate([self.margins_of(part) for part in sets.blocks()])
+
+    def margins_of(self, sets: Sets) -> np.ndarray:
+        out = self.weights[-2] * self.lean_of(sets) + self.weights[-1]
         if len(self.features):
             at = np.minimum(np.searchsorted(self.features, sets.flat), len(self.features) - 1)
             w = np.where(self.features[at] == sets.flat, self.weights[at], 0.0)
@@ -274,8 +298,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     got = sample.mapInArrow(run, T.StructType([sample.schema["id"], sample.schema["bad"]]).add("text_ids", lists).add("meta_ids", lists))
     got = got.withColumn("calibrates", drawn_for_calibration("id")).toArrow()
     got = got.sort_by("id")  # sums of doubles come out the same each time
+    sets = [Sets.of(got[c]) for c in ("text_ids", "meta_ids")]
+    label, calibrates = np.asarray(got["bad"]).astype(np.int64), np.asarray(got["calibrates"]).astype(bool)
+    del got
     others = own.join(small(known.select("id")), "id", "left_anti")
-    return co_train(Sets.of(got["text_ids"]), Sets.of(got["meta_ids"]), np.asarray(got["bad"]).astype(np.int64), np.asarray(got["calibrates"]).astype(bool), lambda model: gathered(others, model, meta), rounds)
+    return co_train(*sets, label, calibrates, lambda model: gathered(others, model, meta), rounds)
 
 
 #: The columns that documents get.
