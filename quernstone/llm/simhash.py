@@ -397,17 +397,22 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)), np.uint64, BANDS)
 
 
-def sets_of(docs: DataFrame, text: str, nodes: DataFrame, width: int) -> DataFrame:
-    """``(node, s)``: the shingles of the texts of ``nodes (node)``; texts of one key have the same."""
-    ends = nodes.select(F.col("node").alias("end")).distinct()
+def sets_of(docs: DataFrame, groups: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``(node, s)``: the shingles of the texts of ``nodes (node)``, from the least of the ``docs (doc_id, text)`` of each.
+
+    Other texts of such an id are nodes of their own, which may come along.
+    """
+    ends = groups.join(nodes.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    ends = checkpointed(ends)
     small = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            made = pa.array([shingles_of(normal(x.as_py()), width).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), made], ["node", "s"])
+            texts = [normal(x.as_py()) for x in b.column(0)]
+            made = pa.array([shingles_of(t, width).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(t)[0] for t in texts], pa.int64()), made], ["node", "s"])
 
-    own = docs.select(F.col("key_a").alias("end"), F.col("row")[text].cast("binary").alias("t")).join(F.broadcast(ends) if small else ends, "end", "left_semi")
+    own = docs.join(F.broadcast(ends) if small else ends, "doc_id", "left_semi").select("text")
     return own.mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
 
@@ -580,8 +585,8 @@ def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(old.unionByName(top.join(labels, "node", "left_anti")))
 
 
-def alike_groups(docs: DataFrame, text: str, groups: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
-    """``(node, component)`` of the texts linked by that similarity; ``docs`` as keyed() gives them.
+def alike_groups(docs: DataFrame, groups: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """``(node, component)`` of the texts linked by that similarity, of ``docs (doc_id, text)``, text as binary.
 
     First every node is compared with the smallest one that it shares a band with, and what the trees
     propose. In the buckets that hold several components after that, what is not in the largest one is
@@ -595,23 +600,23 @@ def alike_groups(docs: DataFrame, text: str, groups: DataFrame, width: int, simi
     stars = buckets.groupBy("node").agg(F.min("first").alias("first")).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     trees = candidates(groups.select(F.col("a").alias("node"), "views"), radius)
     edges = checkpointed(likely(stars.unionByName(trees).distinct(), sketches, similarity))
-    labels = linked(docs, text, labels, edges, width, similarity)
+    labels = linked(docs, groups, labels, edges, width, similarity)
     own = checkpointed(torn(buckets, labels))
     if own.isEmpty():
         return labels
-    labels = linked(docs, text, labels, checkpointed(proposed(own, sketches, similarity, LIKELIEST)), width, similarity)
+    labels = linked(docs, groups, labels, checkpointed(proposed(own, sketches, similarity, LIKELIEST)), width, similarity)
     own = checkpointed(torn(buckets, labels))
     if own.isEmpty():
         return labels
-    return contracted(labels, checkpointed(closing(own, checkpointed(sets_of(docs, text, own, width)), similarity)))
+    return contracted(labels, checkpointed(closing(own, checkpointed(sets_of(docs, groups, own, width)), similarity)))
 
 
-def linked(docs: DataFrame, text: str, labels: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+def linked(docs: DataFrame, groups: DataFrame, labels: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
     """``labels`` after the ``edges`` that hold when the whole sets are compared."""
     if edges.isEmpty():
         return labels
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    sets = checkpointed(sets_of(docs, text, ends, width))
+    sets = checkpointed(sets_of(docs, groups, ends, width))
     return contracted(labels, checkpointed(verified(edges, sets, similarity)))
 
 
@@ -640,7 +645,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     rows = checkpointed(cols.mapInArrow(run, "doc_id long, a long, b long, views array<long>, bands array<long>, sketch binary"))
     groups = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("views", "bands", "sketch"))))
     here = keyed(docs, text)
-    named = alike_groups(here, text, groups, width, similarity, radius)
+    named = alike_groups(cols, groups, width, similarity, radius)
     of = groups.join(named, groups.a == named.node, "left").select("a", "b", "least", F.coalesce("component", "a").alias("component"))
     best = of.groupBy("component").agg(F.min(F.struct("least", "a", "b")).alias("best"))
     # a row goes unless its group, key and id are the ones that stay; of those that stay several times one stays
