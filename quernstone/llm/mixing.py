@@ -160,35 +160,59 @@ def fit(own: DataFrame, target: np.ndarray, iterations: int = ITERATIONS, domain
     return errors
 
 
+def described(texts: list[bytes], model: Classifier) -> tuple[pa.Array, np.ndarray]:
+    """The texts' tokens and posteriors."""
+    p = model.posteriors(model.likelihoods(texts)) if model.domains else np.empty((len(texts), 0))
+    return pa.array([tokens(t) for t in texts], pa.int64()), p
+
+
+def rates(p: np.ndarray, model: Classifier, errors: np.ndarray) -> list[pa.Array]:
+    """The likeliest domain, its posterior and the rate for each row of posteriors."""
+    if model.domains and len(p):
+        return [pa.array([model.domains[k] for k in p.argmax(1)]), pa.array(p.max(1)), pa.array(replayed(p, errors)[0])]
+    return [pa.nulls(len(p), pa.string()), pa.nulls(len(p), pa.float64()), pa.array(np.ones(len(p)))]
+
+
 def members(docs: DataFrame, model: Classifier, text: str, kept: list[str]) -> DataFrame:
     """``(row, __t, __p)``: the ``kept`` columns of ``docs``, the tokens and the posterior of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            texts = [t.as_py() or b"" for t in b.column("text")]
-            p = model.posteriors(model.likelihoods(texts)) if model.domains else np.empty((len(texts), 0))
-            more = [pa.array([tokens(t) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), *more], ["row", "__t", "__p"])
+            t, p = described([t.as_py() or b"" for t in b.column("text")], model)
+            yield pa.RecordBatch.from_arrays([b.column("row"), t, pa.array(list(p), pa.list_(pa.float64()))], ["row", "__t", "__p"])
 
     rows = docs.select(F.struct(*([docs[f"`{c}`"] for c in kept] or [F.lit(0).alias("none")])).alias("row"), docs[text].cast("binary").alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("__t", T.LongType()).add("__p", T.ArrayType(T.DoubleType())))
 
 
+def with_added(rows: DataFrame, run) -> DataFrame:
+    """The columns of ``rows (row, ...)``'s row and the four that ``run`` adds to it."""
+    schema = T.StructType([rows.schema["row"]]).add("tokens", "long").add("domain", "string").add("membership", "double").add("rate", "double")
+    return rows.mapInArrow(run, schema).select("row.*", *ADDED)
+
+
 def rated(own: DataFrame, model: Classifier, errors: np.ndarray) -> DataFrame:
     """members()'s rows with ``tokens``, ``domain``, ``membership`` and ``rate``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            n = b.num_rows
-            if model.domains and n:
-                p = np.asarray(b.column("__p").flatten()).reshape(n, -1)
-                more = [pa.array([model.domains[k] for k in p.argmax(1)]), pa.array(p.max(1)), pa.array(replayed(p, errors)[0])]
-            else:
-                more = [pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.ones(n))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("__t"), *more], ["row", *ADDED])
+            p = np.asarray(b.column("__p").flatten()).reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 0))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("__t"), *rates(p, model, errors)], ["row", *ADDED])
+
+    return with_added(own, run)
+
+
+def read_and_rated(docs: DataFrame, model: Classifier, errors: np.ndarray, text: str) -> DataFrame:
+    """``docs`` with the columns that rated() gives, in one pass: a task has one Python worker, which gets each text once."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            row = b.column(0)
+            t, p = described([t.as_py() or b"" for t in row.field(text).cast(pa.binary())], model)
+            yield pa.RecordBatch.from_arrays([row, t, *rates(p, model, errors)], ["row", *ADDED])
 
-    schema = T.StructType([own.schema["row"]]).add("tokens", "long").add("domain", "string").add("membership", "double").add("rate", "double")
-    return own.mapInArrow(run, schema).select("row.*", *ADDED)
+    return with_added(rows, run)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text: str = "text", keep: list[str] | None = None, iterations: int = ITERATIONS) -> DataFrame:
@@ -209,7 +233,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text:
     target = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
     own = checkpointed(members(docs, model, text, keep or []))
     errors = fit(own, target / target.sum(), iterations, model.domains) if target.sum() > 0 else np.zeros((0, len(target)))
-    return rated(own if keep else members(docs, model, text, docs.columns), model, errors)
+    return rated(own, model, errors) if keep else read_and_rated(docs, model, errors, text)
 
 
 def vetted(docs: DataFrame, labels: DataFrame) -> DataFrame:

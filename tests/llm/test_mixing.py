@@ -59,6 +59,19 @@ def test_nothing_labelled_or_wanted(spark):
     assert mixing.mixed(df.limit(0), mixing.vetted(df, some), {"a": 1.0}).collect() == []
 
 
+def test_whole_rows_pass_one_python_worker(spark):
+    """Texts go to Python once, and the two ways to return rows agree."""
+    df = spark.createDataFrame(data(300) + [(9000, None, "a", "r", "z", 5), (9001, "", "b", "r", "z", 5)], DOCS)
+    labelled = mixing.vetted(df, spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], LABELS))
+    weights = {"a": 0.2, "b": 0.45, "c": 0.35}
+    whole = mixing.mixed(df, labelled, weights)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "cast(text" not in plan
+    few = mixing.mixed(df, labelled, weights, keep=["doc_id"])
+    named = ["doc_id", *mixing.ADDED]
+    assert sorted(map(tuple, whole.select(named).collect())) == sorted(map(tuple, few.select(named).collect()))
+
+
 def test_rare_domain_reaches_its_target(spark):
     """A domain of 0.1 % of the tokens, a target of 12 %."""
     rows = [(100, [0.0, 1.0, 0.0])] * 399 + [(100, [0.0, 0.02, 0.98])] * 600 + [(100, [1.0, 0.0, 0.0])]
