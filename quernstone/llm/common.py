@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "running", "sliced", "stratified", "table"]
+__all__ = ["bounded", "checkpointed", "drop_folder", "ensure_checkpoint_dir", "fresh", "importable", "let", "running", "sliced", "stratified", "table"]
 
 
 #: Values that running() sums at once; the sums of such runs are summed after that.
 RUN = 128
 
 
+#: Bytes of rows that a Python worker is sent at once, and the setting for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def let(value: Column, then) -> Column:
     """``then(value)`` with the value computed once, also where lambdas use it again and again."""
     return F.get(F.transform(F.array(value), then), 0)
@@ -76,6 +80,16 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Python workers get rows in batches of BATCH_BYTES or one row, in place of Spark's 64 MB; a bound that the session was given stays.
+
+    So what a task holds on either side of the pipe does not grow with the length of texts. The session keeps
+    the setting, as frames run after they are made; it changes no result.
+    """
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -70,13 +70,15 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     rows = checkpointed(rows.select("domain", F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64("id", F.lit("scale")), F.lit(5)) == 0).alias("scales"), "id"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
         for b in batches:
-            names = b.column(0).dictionary_encode()
-            seen = np.zeros((len(names.dictionary), BUCKETS), np.int64)
-            for k, t in zip(np.asarray(names.indices), b.column(1), strict=True):
-                seen[k, word_ids(t.as_py(), BUCKETS)] += 1
-            k, at = np.nonzero(seen)
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(k)), pa.array(at), pa.array(seen[k, at])], ["domain", "at", "n"])
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if d not in seen:
+                    seen[d] = np.zeros(BUCKETS, np.int64)
+                seen[d][word_ids(t.as_py(), BUCKETS)] += 1
+        for d, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(d, pa.string()), len(at)), pa.array(at), pa.array(n[at])], ["domain", "at", "n"])
 
     learned = rows.filter(~F.col("scales")).select("domain", "text")
     counts = learned.mapInArrow(counted, "domain string, at long, n long").groupBy("domain", "at").agg(F.sum("n").alias("n")).toArrow()

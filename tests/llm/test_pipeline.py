@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
+from quernstone.llm import common
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VILE = ["vile", "rotten", "foul"]
@@ -101,3 +103,38 @@ def test_stages_carry_other_columns_and_repeated_rows(spark, folder):
         assert ids.count(None) == 1 or k == 0
         if k == 1:
             assert len(set(ids)) == len(ids)
+
+
+def test_python_workers_get_bounded_batches(spark, folder):
+    """However long the texts, unless the session names a bound; rows beyond it come alone."""
+    path, *_ = folder
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    for _, stage in (x for x in cp.STAGES if x[1] in (cp.quality_stage, cp.dedup_stage, cp.mixing_stage)):
+        spark.conf.unset(common.BATCH_SETTING)
+        stage(spark, spark.read.parquet(f"{path}/documents.parquet").limit(0), path)
+        long = spark.range(400).selectExpr("id", "repeat('abcd', 25000) AS text").coalesce(1)
+        got = long.mapInArrow(seen, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 400 and max(r.bytes for r in got) <= common.BATCH_BYTES + 200_000
+    spark.conf.set(common.BATCH_SETTING, 50_000)
+    got = long.limit(5).coalesce(1).mapInArrow(seen, "n long, bytes long").collect()
+    assert [r.n for r in got] == [1] * 5
+    common.bounded(spark)
+    assert spark.conf.get(common.BATCH_SETTING) == "50000"
+    spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_batches_change_no_result(spark, folder):
+    path, *_ = folder
+    got = []
+    for size in (64 << 20, 20_000):
+        spark.conf.set(common.BATCH_SETTING, size)
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in cp.STAGES:
+            docs = stage(spark, docs, path)
+        got.append(sorted((tuple(r) for r in docs.drop("rate", "membership").collect()), key=str))
+    spark.conf.unset(common.BATCH_SETTING)
+    assert len(got[0]) > 400 and got[0] == got[1]
